@@ -58,7 +58,7 @@ def _draws(seeds: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.
     unit = np.float32(2.0**-32)
 
     def two(i: int):
-        h = _mix(base + _U(i) * _U(0xD1B54A32D192ED03))
+        h = _mix(base + _U(i * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
         lo, hi = (h & _U(0xFFFFFFFF)).astype(np.float32), (h >> _U(32)).astype(np.float32)
         return (lo + np.float32(0.5)) * unit, (hi + np.float32(0.5)) * unit
 

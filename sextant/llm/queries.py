@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import fingerprint, langid, licenses, packing, secretscan, simhash
 from .common import read_documents
 
 
@@ -14,8 +14,35 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_documents(spark, sf_dir), words=4, max_bits=4)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_documents(spark, sf_dir))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digest(read_documents(spark, sf_dir))
+
+
+def op8_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edited(read_documents(spark, sf_dir))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_documents(spark, sf_dir))
+
+
+def tokenizer_path() -> str:
+    """Where the installed public vocabulary is."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_documents(spark, sf_dir), tokenizer_path(), size=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup,)
+    for f in (op1_simhash_near_dedup, op2_license_scan, op4_secret_scan, op8_weighted_fingerprints, op9_language_id, op10_best_fit_packing)
 }
 ORACLES: dict[str, str] = {}

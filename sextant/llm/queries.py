@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, licenses, packing, secretscan, simhash
+from . import fingerprint, langid, licenses, packing, secretscan, simhash, toxicity
 from .common import read_documents
 
 
@@ -22,6 +22,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest(read_documents(spark, sf_dir))
 
 
+def op7_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edited(read_documents(spark, sf_dir))
 
@@ -43,6 +47,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_license_scan, op4_secret_scan, op8_weighted_fingerprints, op9_language_id, op10_best_fit_packing)
+    for f in (op1_simhash_near_dedup, op2_license_scan, op4_secret_scan, op7_toxicity_neighbours, op8_weighted_fingerprints, op9_language_id, op10_best_fit_packing)
 }
 ORACLES: dict[str, str] = {}

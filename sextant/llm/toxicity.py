@@ -1,8 +1,10 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-A bounded set of labelled examples is indexed: their terms that tell the labels
-apart (chi-squared), weighted by counts and by document frequency over the
-whole corpus. For a text the blocks' upper bounds are summed from per-block
+A bounded set of labelled examples is indexed by the terms that tell the labels
+apart: candidates by chi-squared, of which those are taken in turn that mark
+most examples not yet marked twice, so that the words of one often copied
+document don't count as signs. Terms are weighted by counts and by document
+frequency over the whole corpus. For a text the blocks' upper bounds are summed from per-block
 maxima; blocks are scored exactly until none that is left can reach the k
 nearest. The neighbours vote with weights that grow with their cosine; votes are
 calibrated by isotonic regression on the examples' own leave-one-out votes.
@@ -24,7 +26,7 @@ from .common import arrow_map, held_out, materialize
 #: Labelled examples of each class at most (a hash of the id picks them), and terms of the index at most.
 EXAMPLES, TERMS = 2000, 4096
 #: Chi-squared (one degree of freedom) and examples that a term needs.
-CHI2, LEAST = 20.0, 3
+CHI2, LEAST = 20.0, 4
 NEIGHBOURS, BLOCK = 10, 64
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -35,6 +37,30 @@ def terms(text: str | None) -> Counter:
     return Counter(w.decode("utf-8", "replace") for w in (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
 
 
+def mark(postings: dict[str, list[int]], labels: dict[int, int], least: int = LEAST) -> list[str]:
+    """The terms taken in turn, from ``postings`` (term to examples), until one marks too few new examples.
+
+    A term gains an example of label 1 that fewer than two taken terms have, and
+    loses one of label 0. It must gain at least ``least`` and one in a hundred of
+    label 1.
+    """
+    need = max(least, sum(labels.values()) / 100)
+    cover: Counter = Counter()
+    taken: list[str] = []
+    left = dict(postings)
+
+    def gain(t: str) -> int:
+        return sum((cover[i] < 2) if labels[i] else -1 for i in left[t])
+
+    while left:
+        left = {t: p for t, p in left.items() if gain(t) >= need}
+        if left:
+            best = min(left, key=lambda t: (-gain(t), t))
+            taken.append(best)
+            cover.update(left.pop(best))
+    return sorted(taken)
+
+
 class Index:
     """Block-max inverted index of unit vectors. Rows keep the order given; blocks are runs of rows."""
 
@@ -192,15 +218,17 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabula
     # Terms that more than half of all examples have say nothing by standing in a text.
     ranked = held.groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).where(F.col("n") <= 0.5 * (pos + neg))
     ranked = ranked.withColumn("chi2", chi2).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "term").limit(vocabulary_size)
-    words = sorted(r["term"] for r in ranked.collect())
-    vocabulary = {w: i for i, w in enumerate(words)}
-    df = _frequencies(docs, vocabulary) if words else np.zeros(0)
-    n_docs = docs.count() if words else 0
-    idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5)) if words else np.zeros(0)
-    use = held.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in words], "term string")), "term") if words else held.limit(0)
+    use = held.join(F.broadcast(materialize(ranked.select("term"))), "term")  # vocabulary_size short rows at most
+    postings: dict[str, list[int]] = {}
     by: dict[int, dict[str, int]] = {}
     for r in use.select("doc_id", "term", "n").toLocalIterator():
+        postings.setdefault(r["term"], []).append(r["doc_id"])
         by.setdefault(r["doc_id"], {})[r["term"]] = r["n"]
+    vocabulary = {w: i for i, w in enumerate(mark(postings, {r["doc_id"]: r["toxic"] for r in ids.collect()}))}
+    idf = np.zeros(0)
+    if vocabulary:
+        df = _frequencies(docs, vocabulary)
+        idf = np.log(1 + (docs.count() - df + 0.5) / (df + 0.5))
     made = [(r["doc_id"], r["toxic"], by.get(r["doc_id"], {})) for r in ids.orderBy("doc_id").collect()]
     weights = {y: sizes.get(y, 0) / max(1, total.get(y, 0)) for y in (0, 1)}
     return Model(vocabulary, idf, made, weights)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,18 +30,19 @@ SIZE = 2048
 FEW = 3
 #: Steps of the least-squares fit.
 STEPS = 250
-#: Ids that a worker remembers for space-delimited pieces of text, and the longest such piece.
-CACHE, CACHE_CHARS = 400_000, 48
+#: Pieces of text whose ids a worker remembers (twice as many for a while), and the longest such piece.
+CACHE, CACHE_CHARS = 400_000, 40
 
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Token ids as little-endian bytes, with a bounded cache of space-delimited pieces.
+    """Token ids as little-endian bytes, with a bounded cache of pieces of text.
 
-    A byte-level BPE vocabulary splits a text before each space that stands
-    before something other than white space, so pieces can be encoded alone. A
-    text with a space before white space or at its end is encoded whole.
+    A byte-level BPE vocabulary splits a text before each blank, and around each
+    line feed, that stands alone between other than white space. So the pieces
+    between such places can be encoded alone and remembered. A text with any
+    other blank, line feed or NUL is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -50,27 +52,48 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.seen: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # what was seen before the last change of generation
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, which are encoded as the lines of one text, and cut at the line feeds' id."""
+        (feed,) = array("I", self._encode(["\n"])[0])
+        (all_ids,) = self._encode(["\n".join(pieces)])
+        cut = [-4, *(np.nonzero(np.frombuffer(all_ids, "<u4") == feed)[0] * 4).tolist(), len(all_ids)]
+        return [all_ids[a + 4 : b] for a, b in zip(cut, cut[1:], strict=False)]
+
+    @staticmethod
+    def _alone(piece: str) -> bool:
+        """Whether the piece may be encoded by itself; line feeds may, empty pieces show white space beside another."""
+        if piece == "\n":
+            return True
+        return piece not in ("", " ") and not (piece[1] if piece[0] == " " else piece[0]).isspace()
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            first, *rest = text.split(" ")
-            parts = [first, *[" " + x for x in rest]]
-            missing = [x for x in set(parts) if x not in self.seen]
-            if any(x[:1] == " " and (len(x) == 1 or x[1].isspace()) for x in missing):
+            parts = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+            new = set(parts).difference(self.seen)
+            if "\0" in text or not all(map(self._alone, new)):
                 yield self._encode([text])[0]
                 continue
-            if len(self.seen) + len(missing) > CACHE:
-                self.seen.clear()
-                missing = list(set(parts))
-            new = dict(zip(missing, self._encode(missing), strict=True)) if missing else {}
-            self.seen.update((k, v) for k, v in new.items() if len(k) <= CACHE_CHARS)
-            if new:
-                yield b"".join([new[x] if x in new else self.seen[x] for x in parts])
-            else:
+            if len(self.seen) + len(new) > CACHE:
+                self.old, self.seen = self.seen, {}
+                new = set(parts)
+            known = {x: self.old[x] for x in new if x in self.old}
+            missing = [x for x in new if x not in known]
+            lines = [x for x in missing if not x[-1].isspace()]
+            if lines:
+                known.update(zip(lines, self._encode_pieces(lines), strict=True))
+            if len(lines) < len(missing):
+                other = [x for x in missing if x[-1].isspace()]
+                known.update(zip(other, self._encode(other), strict=True))
+            self.seen.update((k, v) for k, v in known.items() if len(k) <= CACHE_CHARS)
+            if all(len(x) <= CACHE_CHARS for x in known):
                 yield b"".join(map(self.seen.__getitem__, parts))
+            else:
+                yield b"".join([known[x] if x in known else self.seen[x] for x in parts])
 
 
 def encoder(path: str) -> Encoder:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, licenses, packing, secretscan, simhash, toxicity
+from . import fingerprint, langid, licenses, mixing, packing, quality, secretscan, simhash, toxicity
 from .common import read_documents
 
 
@@ -22,6 +22,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest(read_documents(spark, sf_dir))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_documents(spark, sf_dir))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -47,6 +55,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_license_scan, op4_secret_scan, op7_toxicity_neighbours, op8_weighted_fingerprints, op9_language_id, op10_best_fit_packing)
+    for f in (op1_simhash_near_dedup, op2_license_scan, op4_secret_scan, op5_source_mixing, op6_quality_rules, op7_toxicity_neighbours, op8_weighted_fingerprints, op9_language_id, op10_best_fit_packing)
 }
 ORACLES: dict[str, str] = {}

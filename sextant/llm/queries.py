@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, licenses, mixing, packing, quality, secretscan, simhash, toxicity
+from . import fingerprint, langid, licenses, linededup, mixing, packing, quality, secretscan, simhash, toxicity
 from .common import read_documents
 
 
@@ -18,6 +18,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicate(read_documents(spark, sf_dir))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest(read_documents(spark, sf_dir))
 
@@ -55,6 +59,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_license_scan, op4_secret_scan, op5_source_mixing, op6_quality_rules, op7_toxicity_neighbours, op8_weighted_fingerprints, op9_language_id, op10_best_fit_packing)
+    for f in (op1_simhash_near_dedup, op2_license_scan, op3_line_dedup, op4_secret_scan, op5_source_mixing, op6_quality_rules, op7_toxicity_neighbours, op8_weighted_fingerprints, op9_language_id, op10_best_fit_packing)
 }
 ORACLES: dict[str, str] = {}

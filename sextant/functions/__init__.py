@@ -1 +1 @@
-"""See the module docstrings."""
+"""Column functions: filters, text, analysis, vectors, chunking and highlighting."""

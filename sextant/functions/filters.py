@@ -217,6 +217,39 @@ class Attrs:
         return _Attr(v.isNotNull(), {"null": (v, v["t"] == "null")} | {k: (v[slot], v["t"] == k) for k, slot in _SLOT.items()})
 
 
+def bind(df: DataFrame) -> Columns | Attrs:
+    """The binding of a DataFrame: the map of tagged values if it has one as ``attrs``, else its columns."""
+    tagged = "attrs" in df.columns and isinstance(df.schema["attrs"].dataType, T.MapType)
+    return Attrs() if tagged else Columns(df)
+
+
+def tagged(c: Column, t: T.DataType) -> Column:
+    """A column's values as tagged values; NULL stays NULL (absent)."""
+    kind = Columns.kind(t)
+    if kind is None:
+        raise TypeError(f"no attribute type for {t.simpleString()}")
+    value = millis(c, t) if kind == "dt" else c
+    slots = [value.cast(f.dataType).alias(f.name) if f.name == _SLOT[kind] else F.lit(None).cast(f.dataType).alias(f.name) for f in VALUE.fields[1:]]
+    return F.when(c.isNotNull(), F.struct(F.lit(kind).alias("t"), *slots))
+
+
+def to_attrs(df: DataFrame, columns: list[str]) -> Column:
+    """A map of tagged values from columns; absent values have no entry."""
+    pairs = [F.struct(F.lit(c).alias("k"), tagged(F.col(f"`{c}`"), df.schema[c].dataType).alias("v")) for c in columns]
+    if not pairs:
+        return F.lit(None).cast(ATTRS)
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["v"].isNotNull()))
+
+
+def promote(df: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """``df`` with columns for attributes of its map: key to kind (str, int, bool, list, float, dt); other-typed values are NULL."""
+    for k, kind in keys.items():
+        v = F.try_element_at("attrs", F.lit(k))
+        c = F.when(v["t"] == kind, v[_SLOT[kind]])
+        df = df.withColumn(k, F.timestamp_millis(c) if kind == "dt" else c)
+    return df
+
+
 # --- compiler ---------------------------------------------------------------------------------------------------
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.filters import Columns, compile_filter
+from ..functions.filters import bind, compile_filter
 from . import ranking as R
 from . import search as S
 
@@ -47,7 +47,7 @@ def search_int8(df: DataFrame, query: list[float], scale: float, opts: S.SearchO
     """Two passes: the best depth x ``rescore`` by codes, then exact scores. ``df`` has the column ``codes``."""
     q = V.unit(np.array([query], float))[0] if metric == "cosine" else np.array(query, float)
     codes = np.clip(np.sign(q) * np.floor(np.abs(q) / scale + 0.5), -127, 127)
-    rows = S.scoped(df, opts.scope).where(compile_filter(opts.where, Columns(df))).where("codes is not null")
+    rows = S.scoped(df, opts.scope).where(compile_filter(opts.where, bind(df))).where("codes is not null")
     first = rows.withColumn("score", V.score(F.col("codes"), codes.tolist(), "dot" if metric == "cosine" else metric))
     return _exact(first.orderBy(*R.order()).limit(opts.depth * rescore), query, opts, metric)
 
@@ -57,7 +57,7 @@ def search_binary(df: DataFrame, query: list[float], opts: S.SearchOptions = S.S
     bits = np.array(query) >= 0
     words = [int(sum(1 << i for i, b in enumerate(bits[at : at + 64]) if b)) for at in range(0, len(bits), 64)]
     words = [w - (1 << 64) if w >> 63 else w for w in words]
-    rows = S.scoped(df, opts.scope).where(compile_filter(opts.where, Columns(df))).where("signs is not null")
+    rows = S.scoped(df, opts.scope).where(compile_filter(opts.where, bind(df))).where("signs is not null")
     first = rows.withColumn("score", -V.hamming(F.col("signs"), F.array(*[F.lit(w).cast("long") for w in words])).cast("double"))
     return _exact(first.orderBy(*R.order()).limit(opts.depth * rescore), query, opts, "cosine")
 
@@ -118,7 +118,7 @@ def save_ivf(indexed: DataFrame, path: str) -> None:
 def search_ivf(df: DataFrame, index: Ivf, query: list[float], opts: S.SearchOptions = S.SearchOptions(), probes: int = PROBES, overscan: int = OVERSCAN, exact: bool = False) -> DataFrame:
     """Search the nearest ``probes`` lists of ``df`` (which has ``list_id``); exactly where ``exact``, or where the filter leaves few records."""
     if not exact and (opts.where is not None or opts.scope is not None):
-        rows = S.scoped(df, opts.scope).where(compile_filter(opts.where, Columns(df))).where("vector is not null")
+        rows = S.scoped(df, opts.scope).where(compile_filter(opts.where, bind(df))).where("vector is not null")
         enough = opts.depth * overscan
         few = max(df.count() // overscan, enough)
         exact = rows.limit(few + 1).count() <= few

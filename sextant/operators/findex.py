@@ -128,4 +128,4 @@ def narrowed(df: DataFrame, p: P.Predicate, index: DataFrame, fields: list[Filte
     ids = candidates(index, fields, p)
     if ids is not None and (worth is None or ids.count() <= worth * df.count()):
         df = df.join(ids, ["collection", "id"], "left_semi")
-    return df.where(P.compile_filter(p, P.Columns(df)))
+    return df.where(P.compile_filter(p, P.bind(df)))

@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions.analysis import Analyzer, Highlight
-from ..functions.filters import Columns, compile_filter
+from ..functions.filters import bind, compile_filter
 from . import ranking as R
 from . import search as S
 
@@ -145,7 +145,7 @@ def text_search(df: DataFrame, query: TextQuery, schema: list[FieldSchema], opts
     hits = bm25(index, schema, query)
     if not explain:
         hits = hits.drop("clauses")
-    kept = rows.where(compile_filter(opts.where, Columns(df)))
+    kept = rows.where(compile_filter(opts.where, bind(df)))
     return S.tail(kept.join(hits, ["collection", "id"]), opts)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.filters import Columns, Predicate, compile_filter, millis
+from ..functions.filters import Predicate, bind, compile_filter, millis
 from .search import SearchOptions, project, scoped
 
 GROUPS = 10_000
@@ -25,7 +25,7 @@ def list_records(df: DataFrame, where: Predicate | None = None, scope: list[str]
     With ``order_by``, records without the attribute (or with NaN) come last,
     also when descending, in base order; so do ties.
     """
-    rows = scoped(df, scope).where(compile_filter(where, Columns(df)))
+    rows = scoped(df, scope).where(compile_filter(where, bind(df)))
     keys = base_order(df)
     if order_by is not None:
         if order_by not in df.columns or isinstance(df.schema[order_by].dataType, T.ArrayType):
@@ -91,7 +91,7 @@ def aggregate(df: DataFrame, where: Predicate | None = None, scope: list[str] |
     pass (grouping sets). Groups are ordered by n descending and name; 10 000 are
     kept, and groups_truncated says whether there are more.
     """
-    rows = scoped(df, scope).where(compile_filter(where, Columns(df)))
+    rows = scoped(df, scope).where(compile_filter(where, bind(df)))
     totals = [F.count(F.lit(1)).alias("n"), *_sums(df, list(sums))]
     if group_by is None:
         return rows.agg(*totals)

@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
-from ..functions.filters import Columns, Predicate, compile_filter
+from ..functions.filters import Predicate, bind, compile_filter
 from . import ranking as R
 
 MAX_DEPTH, MAX_BATCH = 10_000, 16
@@ -89,7 +89,7 @@ def search(df: DataFrame, query: list[float], opts: SearchOptions = SearchOption
         raise ValueError(f"metric is one of {V.METRICS}")
     if dimension is not None and len(query) != dimension:
         raise ValueError(f"the query has {len(query)} dimensions, the store {dimension}")
-    rows = scoped(df, opts.scope).where(compile_filter(opts.where, Columns(df))).where("vector is not null")
+    rows = scoped(df, opts.scope).where(compile_filter(opts.where, bind(df))).where("vector is not null")
     return tail(rows.withColumn("score", V.score(F.col("vector"), list(query), metric)), opts)
 
 
@@ -148,7 +148,7 @@ def search_batch(df: DataFrame, requests: list[tuple[list[float], SearchOptions]
     same = all(replace(o, top_k=requests[0][1].top_k) == replace(plain, where=requests[0][1].where, scope=requests[0][1].scope, top_k=requests[0][1].top_k) for _, o in requests) and len({o.top_k for _, o in requests}) == 1
     if same:
         o = requests[0][1]
-        rows = scoped(df, o.scope).where(compile_filter(o.where, Columns(df)))
+        rows = scoped(df, o.scope).where(compile_filter(o.where, bind(df)))
         hits = top_k_batch(rows, [(str(i), q) for i, (q, _) in enumerate(requests)], o.top_k, metric).withColumn("query", F.col("query").cast("int"))
     else:
         hits = None

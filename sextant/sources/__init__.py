@@ -1 +1 @@
-"""See the module docstrings."""
+"""Sources and sinks: the versioned store, directory ingestion and JSON records."""

@@ -124,7 +124,8 @@ def repeated_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rows = rows.select(ID, HASH, LINES, _anchors(F.col(LINES), words).alias("anchors"))
     marks = F.array_compact(F.transform("anchors", lambda p: _fingerprint(F.col(LINES), p, words)))
     prints = materialize(rows.select(ID, HASH, F.explode(marks).alias("m")).select(F.struct(F.col(ID).isNull().alias("z"), F.col(ID).alias("id"), F.col(HASH).alias("h"), F.col("m.first").alias("at")).alias("place"), "m.*"))
-    first = prints.groupBy("g").agg(F.min(F.struct("place", "before", "after")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "o")
+    # Written, so that the join has exchanges of its own and a hot fingerprint's partition can be split.
+    first = materialize(prints.groupBy("g").agg(F.min(F.struct("place", "before", "after")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "o"))
     later = prints.join(first, "g").where(F.col("place") > F.col("o.place"))
     back, on = _equal(F.col("before"), F.col("o.before")), _equal(F.col("after"), F.col("o.after"))
     runs = later.select("place.id", "place.h", F.sequence(_reach(F.col("before"), back, F.col("first")), _reach(F.col("after"), on, F.col("last"))).alias("run"))

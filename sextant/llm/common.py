@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 #: Prefix of working columns, so that columns of the input may have any other name.
 TMP = "__sx_"
 #: Rows that a rank group should hold at most, on average (see ``with_rank``).
-RANK_GROUP_ROWS = 2_000
+RANK_GROUP_ROWS = 500
 #: Characters of text that one vectorised step works on at most (longer texts go alone).
 CHUNK_CHARS = 2_000_000
 

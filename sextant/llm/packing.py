@@ -205,26 +205,35 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]
     return [(tuple(c), n) for group in room for c, n in group]
 
 
+def rounded(rows: np.ndarray, x: np.ndarray, counts: np.ndarray, up: float, size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns repeated floor(x + up) times, as far as pieces are there, and the rest packed best fit."""
+    left, done = counts.copy(), []
+    for i in np.argsort(-x, kind="stable"):
+        if x[i] + up < 1:
+            break
+        lengths = tuple(v for v in rows[i].tolist() if v)
+        n = min(int(x[i] + up), *(int(left[v]) // lengths.count(v) for v in lengths))
+        if n:
+            for v in lengths:
+                left[v] -= n
+            done.append((lengths, n))
+    return done + best_fit(left, size)
+
+
 def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) that hold every piece of the histogram ``counts`` (by length, 0 to ``size``) exactly once."""
-    left = counts.astype(np.int64).copy()
-    done: list[tuple[tuple[int, ...], int]] = []
-    present = np.nonzero(left)[0]
+    """(lengths, repeats) that hold every piece of the histogram ``counts`` (by length, 0 to ``size``) exactly once.
+
+    Of several roundings of the fitted repeats the one of fewest sequences is
+    taken; where all counts are small the last one leaves everything to best fit.
+    """
+    counts = counts.astype(np.int64)
+    present = np.nonzero(counts)[0]
     if not len(present):
         return []
     rows = patterns(present, size)
-    if len(rows):
-        x = fit(rows, left.astype(float))
-        for i in np.argsort(-x, kind="stable"):
-            if (n := int(x[i] + 0.5)) == 0:
-                break
-            lengths = tuple(v for v in rows[i].tolist() if v)
-            n = min(n, *(int(left[v]) // lengths.count(v) for v in lengths))
-            if n:
-                for v in lengths:
-                    left[v] -= n
-                done.append((lengths, n))
-    return done + best_fit(left, size)
+    x = fit(rows, counts.astype(float)) if len(rows) else np.zeros(0)
+    plans = [rounded(rows, x, counts, up, size) for up in (0.5, 0.25, 0.0, -1.0, -np.inf)]
+    return min(plans, key=lambda p: sum(n for _, n in p))
 
 
 def slots(done: list[tuple[tuple[int, ...], int]], size: int) -> dict[str, np.ndarray]:

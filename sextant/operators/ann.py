@@ -27,12 +27,13 @@ ITERATIONS = 12
 FIT_ROWS = 50_000
 
 
-def add_int8(df: DataFrame, scale: float | None = None) -> tuple[DataFrame, float]:
-    """``df`` with int8 ``codes`` of the (unit) vectors at one symmetric scale, the greatest magnitude / 127."""
+def add_int8(df: DataFrame, scale: float | None = None, metric: str = "cosine") -> tuple[DataFrame, float]:
+    """``df`` with int8 ``codes`` of the vectors (of unit length for cosine) at one symmetric scale, the greatest magnitude / 127."""
+    vector = V.normalize(F.col("vector")) if metric == "cosine" else F.col("vector")
     if scale is None:
-        top = df.where("vector is not null").select(F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double")))).alias("m")).agg(F.max("m")).first()[0]
+        top = df.where("vector is not null").select(F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double")))).alias("m")).agg(F.max("m")).first()[0]
         scale = (top or 1.0) / 127
-    return df.withColumn("codes", V.int8_codes(F.col("vector"), scale)), scale
+    return df.withColumn("codes", V.int8_codes(vector, scale)), scale
 
 
 def add_signs(df: DataFrame, dimension: int) -> DataFrame:

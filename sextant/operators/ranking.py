@@ -57,7 +57,8 @@ class Decay:
             if isinstance(df.schema[self.field].dataType, (T.TimestampType, T.TimestampNTZType)):
                 at = millis(at, df.schema[self.field].dataType)
             age = F.greatest(F.lit(self.origin) - at, F.lit(0)) / F.lit(float(self.scale))
-            factor = F.coalesce(F.pow(F.lit(float(self.decay)), age), F.lit(float(self.missing)))
+            # greatest() passes NULLs over, so a missing time is asked for.
+            factor = F.when(at.isNotNull(), F.pow(F.lit(float(self.decay)), age)).otherwise(float(self.missing))
             score = score - self.weight * (1 - factor)
         if self.count_field:
             n = F.greatest(F.coalesce(F.col(self.count_field).cast("double"), F.lit(0.0)), F.lit(0.0))

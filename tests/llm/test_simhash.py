@@ -54,8 +54,8 @@ def test_query_against_brute_force(spark):
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in rows} == {(i, f"{f:016x}", comp[i]) for i, f in want}
 
 
-@pytest.mark.parametrize("dense", [S.DENSE, 20])
-def test_links_and_components(spark, dense):
+@pytest.mark.parametrize(("dense", "refine"), [(S.DENSE, False), (20, False), (S.DENSE, True), (20, True)])
+def test_links_and_components(spark, dense, refine):
     rng = random.Random(3)
     fps = {rng.getrandbits(64) for _ in range(200)}
     centre = rng.getrandbits(64)
@@ -68,7 +68,12 @@ def test_links_and_components(spark, dense):
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
-    got = {r.node: r.root for r in S.components(S.links(nodes, 4, dense)).collect()}
+    pairs = S.links(nodes, 4, dense, refine)
+    if dense == S.DENSE:
+        every = {(a, b) for i, a in enumerate(signed) for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
+        rows = [(r.a, r.b) for r in pairs.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == every
+    got = {r.node: r.root for r in S.components(pairs).collect()}
     want = brute_components(list(zip(signed, fps, strict=True)))
     assert {f: got.get(f, f) for f in signed} == want
 

@@ -116,15 +116,22 @@ def save_ivf(indexed: DataFrame, path: str) -> None:
     indexed.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
 
 
-def search_ivf(df: DataFrame, index: Ivf, query: list[float], opts: S.SearchOptions = S.SearchOptions(), probes: int = PROBES, overscan: int = OVERSCAN, exact: bool = False) -> DataFrame:
-    """Search the nearest ``probes`` lists of ``df`` (which has ``list_id``); exactly where ``exact``, or where the filter leaves few records."""
+def search_ivf(df: DataFrame, index: Ivf, query: list[float], opts: S.SearchOptions = S.SearchOptions(), probes: int = PROBES, overscan: int = OVERSCAN, exact: bool = False, scale: float | None = None) -> DataFrame:
+    """Search the nearest ``probes`` lists of ``df`` (which has ``list_id``).
+
+    Records that no list holds yet are always scanned. Everything is scored
+    exactly where ``exact``, or where the filter leaves few records. With
+    ``scale``, and the column ``codes``, int8 codes choose the candidates in the lists.
+    """
     if not exact and (opts.where is not None or opts.scope is not None):
         rows = S.scoped(df, opts.scope).where(compile_filter(opts.where, bind(df))).where("vector is not null")
         enough = opts.depth * overscan
         few = max(df.count() // overscan, enough)
         exact = rows.limit(few + 1).count() <= few
-    chosen = df if exact else df.where(F.col("list_id").isin(index.probes(query, probes)))
-    return S.search(chosen.drop("list_id"), query, opts, index.metric)
+    chosen = df if exact else df.where(F.col("list_id").isin(index.probes(query, probes)) | F.col("list_id").isNull())
+    if scale is not None and not exact:
+        return search_int8(chosen.drop("list_id"), query, scale, opts, index.metric)
+    return S.search(chosen.drop("list_id", "codes", "signs"), query, opts, index.metric)
 
 
 def search_hnsw(df: DataFrame, index: Ivf, query: list[float], opts: S.SearchOptions = S.SearchOptions(), ef_search: int = 64) -> DataFrame:

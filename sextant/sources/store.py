@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from contextlib import contextmanager
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,8 +98,9 @@ class Store:
         else:
             if dimension is None or distance not in V.METRICS:
                 raise ValueError("a new store needs a dimension and a distance")
-            self.manifest = {"version": 0, "dimension": dimension, "distance": distance, "batches": [], "streams": {}, "profile": {}, "floor": 0}
+            self.manifest = {"version": 0, "dimension": dimension, "distance": distance, "batches": [], "streams": {}, "profile": {}, "floor": 0, "next": 1}
             self.files.create("versions/000000000000.json", json.dumps(self.manifest))
+        self._grouped = False
 
     # --- versions ---------------------------------------------------------------------------------------------
 
@@ -138,15 +140,34 @@ class Store:
         return other
 
     def _publish(self, batches: list[dict], **changes) -> None:
-        new = {**self.manifest, **changes, "version": self.version + 1, "batches": batches}
+        new = {**self.manifest, **changes, "batches": batches}
+        if self._grouped:
+            self.manifest = new
+            return
+        new["version"] += 1
         self.files.create(f"versions/{new['version']:012d}.json", json.dumps(new))
         self.manifest = new
 
+    @contextmanager
+    def group(self):
+        """Writes inside are published together, as one version, when the block ends; none of them if it fails."""
+        before, self._grouped = self.manifest, True
+        try:
+            yield self
+        except BaseException:
+            self.manifest = before
+            raise
+        finally:
+            self._grouped = False
+        if self.manifest != before:
+            self._publish(self.manifest["batches"])
+
     def _write(self, ops: DataFrame) -> dict:
         """Write one batch; what the manifest says of it."""
         if self.read_only:
             raise PermissionError("this handle only reads")
-        name, number = f"ops/{uuid.uuid4().hex}", self.version + 1
+        name, number = f"ops/{uuid.uuid4().hex}", self.manifest["next"]
+        self.manifest = {**self.manifest, "next": number + 1}
         stored = ops.select(F.lit(number).cast("long").alias("batch"), F.monotonically_increasing_id().alias("ord"), *[F.col(f.name).cast(f.dataType) for f in OPS])
         stored.write.parquet(f"{self.root}/{name}")
         return {"path": name, **self._sums(name)}
@@ -325,6 +346,20 @@ class Store:
         """Advisory defaults for openers, kept in the manifest."""
         self._publish(self.manifest["batches"], profile={**self.manifest["profile"], **profile})
 
+    # --- derived tables ---------------------------------------------------------------------------------------
+
+    def persist(self, kind: str, table: DataFrame, partition_by: str | None = None) -> None:
+        """Keep a table that is derived from this version's records, such as an index."""
+        writer = table.write.mode("overwrite")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.root}/derived/{kind}/{self.version:012d}")
+
+    def persisted(self, kind: str) -> DataFrame | None:
+        """The kept table of this very version; None if there is none."""
+        name = f"{self.version:012d}"
+        if name not in self.files.names(f"derived/{kind}") or "_SUCCESS" not in self.files.names(f"derived/{kind}/{name}"):
+            return None
+        return self.spark.read.parquet(f"{self.root}/derived/{kind}/{name}")
+
     # --- maintenance ------------------------------------------------------------------------------------------
 
     def compact(self) -> None:

@@ -137,6 +137,11 @@ def test_quantised_and_ivf_recall(spark):
         for name, got in (("int8", ann.search_int8(coded, q, scale)), ("binary", ann.search_binary(signs, q)), ("ivf", ann.search_ivf(indexed, index, q))):
             found[name] += len(want & {g[1] for g in page(got)})
     assert found["int8"] >= 48 and found["binary"] >= 40 and found["ivf"] >= 45
+    both = index.assign(coded).cache()
+    got = page(ann.search_ivf(both, index, m[0].tolist(), scale=scale))
+    assert len({g[1] for g in got} & {g[1] for g in page(S.search(df, m[0].tolist()))}) >= 8
+    new = indexed.where("n > 0").unionByName(df.where("n = 0").withColumn("list_id", P.F.lit(None).cast("int")))
+    assert page(ann.search_ivf(new, index, m[0].tolist(), probes=1))[0][1] == "0000"
     o = S.SearchOptions(where=P.Lt("n", 40))
     assert repr(page(ann.search_ivf(indexed, index, m[0].tolist(), o))) == repr(page(S.search(df, m[0].tolist(), o)))
 

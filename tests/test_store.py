@@ -62,6 +62,26 @@ def test_two_writers(spark, store):
         St.Store(spark, store.root, read_only=True).upsert(df, "k")
 
 
+def test_group_commit_and_derived_tables(spark, store):
+    v = store.version
+    row = lambda s: spark.createDataFrame([("a", s)], "id string, s string")
+    with store.group():
+        for s in "xyz":
+            store.upsert(row(s), "k")
+    assert store.version == v + 1 and store.records().first().attrs["s"].s == "z"
+    with pytest.raises(RuntimeError), store.group():
+        store.upsert(row("w"), "k")
+        raise RuntimeError
+    assert store.version == v + 1 and store.records().first().attrs["s"].s == "z"
+    store.upsert(row("last"), "k")
+    assert St.Store(spark, store.root).records().first().attrs["s"].s == "last"
+    assert store.persisted("copy") is None
+    store.persist("copy", store.records().select("id"))
+    assert ids(store.persisted("copy")) == ["a"]
+    store.delete("k", ["a"])
+    assert store.persisted("copy") is None
+
+
 def test_reinforce_sweep_meta(spark, store):
     t = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
     df = spark.createDataFrame([("a", t), ("b", None), ("c", t)], f"id string, {St.EXPIRES} timestamp")

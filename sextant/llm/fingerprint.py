@@ -30,7 +30,7 @@ from .common import arrow_map
 
 SAMPLES = 128
 #: Remembered (term, count) pairs per worker, 1 KB each.
-CACHE = 80_000
+CACHE = 160_000
 #: Pairs whose draws are made at a time.
 BLOCK = 512
 #: Rows of a bucket, about, when texts are brought beside their successors; and buckets at most.
@@ -54,28 +54,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _draws(seeds: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(r, ln c, beta) for each seed and sample, float32."""
     k = (np.arange(1, samples + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))[None, :]
-    base = seeds[:, None] ^ k
-    unit = np.float32(2.0**-32)
+    one = _mix(seeds[:, None] ^ k)
+    two = _mix(one + _U(0xD1B54A32D192ED03))
 
-    def two(i: int):
-        h = _mix(base + _U(i * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
-        lo, hi = (h & _U(0xFFFFFFFF)).astype(np.float32), (h >> _U(32)).astype(np.float32)
-        return (lo + np.float32(0.5)) * unit, (hi + np.float32(0.5)) * unit
+    def uniform(h: np.ndarray, at: int, bits: int) -> np.ndarray:
+        part = (h >> _U(at)) & _U((1 << bits) - 1)
+        return (part.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-bits)
 
-    (u1, u2), (u3, u4), (b, _) = two(1), two(2), two(3)
-    return -np.log(u1 * u2), np.log(-np.log(np.minimum(u3 * u4, np.float32(1 - 2.0**-24)))), b
+    r = -np.log(uniform(one, 0, 21) * uniform(one, 21, 21))
+    c = -np.log(uniform(one, 42, 22) * uniform(two, 0, 22))
+    return r, np.log(c), uniform(two, 22, 23)
 
 
 def packed(pairs: list[tuple[bytes, int]], samples: int = SAMPLES) -> np.ndarray:
     """One int64 per pair and sample: ln a as an ordered 32-bit integer above, a hash of (term, t) below."""
     seeds = np.array([xxhash.xxh64_intdigest(w) for w, _ in pairs], dtype=_U)
-    weight = np.log(np.array([n for _, n in pairs], dtype=np.float32))[:, None]
+    counts = np.array([n for _, n in pairs], dtype=np.float32)
     r, ln_c, beta = _draws(seeds, samples)
-    t = np.floor(weight / r + beta)
-    bits = (ln_c - r * (t - beta) - r).astype(np.float32).view(np.int32)
+    more = counts > 1  # for a count of one, ln S and so t are zero
+    ln_a = ln_c - r * (1 - beta)
+    which = np.broadcast_to(_mix(seeds)[:, None], r.shape)
+    if more.any():
+        t = np.floor(np.log(counts[more])[:, None] / r[more] + beta[more])
+        ln_a[more] -= r[more] * t
+        which = which.copy()
+        which[more] = _mix(seeds[more][:, None] + t.astype(np.int64).astype(_U) * _U(0x9E3779B97F4A7C15))
+    bits = ln_a.astype(np.float32).view(np.int32)
     order = (bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))).astype(np.int64) << 32
-    which = _mix(seeds[:, None] + t.astype(np.int64).astype(_U) * _U(0x9E3779B97F4A7C15)) & _U(0xFFFFFFFF)
-    return order | which.astype(np.int64)
+    return order | (which & _U(0xFFFFFFFF)).astype(np.int64)
 
 
 class Sampler:

@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 
 from ..functions.analysis import Analyzer, Highlight
 from ..functions.filters import bind, compile_filter
+from ..functions.partitions import spread
 from . import ranking as R
 from . import search as S
 
@@ -73,7 +74,7 @@ def build_index(df: DataFrame, schema: list[FieldSchema], only: dict[str, set[st
                             c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    return df.select("collection", "id", *texts).mapInArrow(run, INDEX)
+    return spread(df.select("collection", "id", *texts)).mapInArrow(run, INDEX)
 
 
 def save_index(index: DataFrame, path: str) -> None:

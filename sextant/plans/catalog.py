@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import analysis as A
 from ..functions import chunking as C
 from ..functions import filters as P
+from ..functions.partitions import spread
 from ..operators import ann, expand, findex, fts, listing
 from ..operators import ranking as R
 from ..operators import search as S
@@ -440,7 +441,7 @@ def rerank_text(spark, d):
 def _chunked(mode):
     def run(spark, d):
         made = C.chunks(F.col("text"), C.ChunkOptions(mode, 600, 80))
-        df = table(spark, d, "documents").select("doc_id", F.posexplode(made).alias("pos", "c"))
+        df = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(made).alias("pos", "c"))
         return df.select("doc_id", F.col("c.index").alias("index"), F.col("c.char_start").alias("char_start"), F.length("c.text").alias("n_chars"), F.md5("c.text").alias("md5"))
 
     return run

@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import fingerprint, langid, licenses, linededup, mixing, packing, quality, secretscan, simhash, toxicity
+from ..functions.partitions import spread
 from .common import read_documents
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(read_documents(spark, sf_dir), words=4, max_bits=4)
+    return simhash.near_duplicates(spread(read_documents(spark, sf_dir)), words=4, max_bits=4)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(read_documents(spark, sf_dir))
+    return licenses.scan_licenses(spread(read_documents(spark, sf_dir)))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +24,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secretscan.digest(read_documents(spark, sf_dir))
+    return secretscan.digest(spread(read_documents(spark, sf_dir)))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,15 +36,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classify(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.classify(spread(read_documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op8_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.compare_with_edited(read_documents(spark, sf_dir))
+    return fingerprint.compare_with_edited(spread(read_documents(spark, sf_dir)))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(read_documents(spark, sf_dir))
+    return langid.identify(spread(read_documents(spark, sf_dir)))
 
 
 def tokenizer_path() -> str:
@@ -54,7 +55,7 @@ def tokenizer_path() -> str:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_documents(spark, sf_dir), tokenizer_path(), size=2048)
+    return packing.pack(spread(read_documents(spark, sf_dir)), tokenizer_path(), size=2048)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

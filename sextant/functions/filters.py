@@ -333,7 +333,7 @@ class _Compiler:
                 return self._typed(attr, "list", lambda c: F.arrays_overlap(c, F.lit(some))) if some else false
             case "ContainsAllTokens":
                 q = sorted(set(X.token_list(v)))
-                return self._text(attr, lambda c: reduce(Column.__and__, [F.array_contains(X.tokens(c), t) for t in q], c.isNotNull()))
+                return self._text(attr, lambda c: F.size(F.array_intersect(X.tokens(c), F.lit(q))) == len(q) if q else c.isNotNull())
             case "ContainsAnyToken":
                 q = sorted(set(X.token_list(v)))
                 return self._text(attr, lambda c: F.arrays_overlap(X.tokens(c), F.lit(q))) if q else false

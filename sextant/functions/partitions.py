@@ -1,8 +1,24 @@
-"""Partitioning of small inputs."""
+"""Partitioning of small inputs, and intermediate tables in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder, from the session's ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-sextant-"))
+    return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder: computed once, and kept when executors are lost."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -22,8 +22,12 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """Unit length; a vector whose norm is tiny or not finite stays as it is."""
-    norm = F.sqrt(dot(v, v))
-    return F.when((norm >= TINY) & (norm < F.lit(float("inf"))), F.transform(v, lambda x: (x / norm).cast("float"))).otherwise(v)
+
+    def scaled(norm: Column) -> Column:
+        return F.when((norm >= TINY) & (norm < F.lit(float("inf"))), F.transform(v, lambda x: (x / norm).cast("float"))).otherwise(v)
+
+    # The norm is a lambda's argument, so it is computed once and not for each element.
+    return F.get(F.transform(F.array(F.sqrt(dot(v, v))), scaled), F.lit(0))
 
 
 def matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +74,37 @@ def score(vector: Column, query: list[float], metric: str) -> Column:
 # --- quantised codes ---------------------------------------------------------------------------------------------
 
 
-def int8_codes(v: Column, scale: float) -> Column:
-    """Symmetric codes round(x / scale), halves away from zero, within 127 of zero."""
-    return F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x.cast("double") / scale))).cast("tinyint"))
+def _rows(col: pa.Array, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    m, known = matrix(col)
+    return (unit(m) if metric == "cosine" else m), known
+
+
+def peak(v: Column, metric: str) -> Column:
+    """The greatest magnitude of a vector's elements, of the unit vector for cosine."""
+
+    @F.arrow_udf("double")
+    def of(col: pa.Array) -> pa.Array:
+        m, known = _rows(col, metric)
+        return pa.array(np.abs(m).max(axis=1, initial=0.0), mask=~known)
+
+    return of(v)
+
+
+def quantize(m: np.ndarray, scale: float) -> np.ndarray:
+    """round(x / scale), halves away from zero, within 127 of zero."""
+    return np.clip(np.sign(m) * np.floor(np.abs(np.nan_to_num(m)) / scale + 0.5), -127, 127)
+
+
+def int8_codes(v: Column, scale: float, metric: str) -> Column:
+    """Symmetric int8 codes of a vector, of the unit vector for cosine."""
+
+    @F.arrow_udf("array<tinyint>")
+    def of(col: pa.Array) -> pa.Array:
+        m, known = _rows(col, metric)
+        made = quantize(m, scale).astype(np.int8)
+        return pa.array([row if k else None for row, k in zip(made, known, strict=True)], pa.list_(pa.int8()))
+
+    return of(v)
 
 
 def sign_words(v: Column, dim: int) -> Column:

@@ -29,11 +29,10 @@ FIT_ROWS = 50_000
 
 def add_int8(df: DataFrame, scale: float | None = None, metric: str = "cosine") -> tuple[DataFrame, float]:
     """``df`` with int8 ``codes`` of the vectors (of unit length for cosine) at one symmetric scale, the greatest magnitude / 127."""
-    vector = V.normalize(F.col("vector")) if metric == "cosine" else F.col("vector")
     if scale is None:
-        top = df.where("vector is not null").select(F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double")))).alias("m")).agg(F.max("m")).first()[0]
+        top = df.where("vector is not null").select(V.peak(F.col("vector"), metric).alias("m")).agg(F.max("m")).first()[0]
         scale = (top or 1.0) / 127
-    return df.withColumn("codes", V.int8_codes(vector, scale)), scale
+    return df.withColumn("codes", V.int8_codes(F.col("vector"), scale, metric)), scale
 
 
 def add_signs(df: DataFrame, dimension: int) -> DataFrame:
@@ -47,7 +46,7 @@ def _exact(candidates: DataFrame, query: list[float], opts: S.SearchOptions, met
 def search_int8(df: DataFrame, query: list[float], scale: float, opts: S.SearchOptions = S.SearchOptions(), metric: str = "cosine", rescore: int = INT8_RESCORE) -> DataFrame:
     """Two passes: the best depth x ``rescore`` by codes, then exact scores. ``df`` has the column ``codes``."""
     q = V.unit(np.array([query], float))[0] if metric == "cosine" else np.array(query, float)
-    codes = np.clip(np.sign(q) * np.floor(np.abs(q) / scale + 0.5), -127, 127)
+    codes = V.quantize(q, scale)
     rows = S.scoped(df, opts.scope).where(compile_filter(opts.where, bind(df))).where("codes is not null")
     first = rows.withColumn("score", V.score(F.col("codes"), codes.tolist(), "dot" if metric == "cosine" else metric))
     return _exact(first.orderBy(*R.order()).limit(opts.depth * rescore), query, opts, metric)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import filters as P
 from ..functions import text as X
+from ..functions.partitions import materialize
 
 #: Above this share of the documents a semi-join costs more than it saves.
 WORTH = 0.5
@@ -126,6 +127,8 @@ def narrowed(df: DataFrame, p: P.Predicate, index: DataFrame, fields: list[Filte
     elements, a bound that holds for each element.
     """
     ids = candidates(index, fields, p)
+    if ids is not None and worth is not None:
+        ids = materialize(ids)
     if ids is not None and (worth is None or ids.count() <= worth * df.count()):
         df = df.join(ids, ["collection", "id"], "left_semi")
     return df.where(P.compile_filter(p, P.bind(df)))

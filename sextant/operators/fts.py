@@ -1,8 +1,9 @@
 """Full-text search: an inverted index as a table, BM25, and hybrid fusion with vectors.
 
 The index is one map-only pass over the text: a row (collection, field, term, id,
-tf, len) per posting, and one with a NULL term per document for the statistics.
-Searches without a stored index make the rows of the query's terms only.
+tf, len) per posting, and rows with a NULL term for the statistics: tf documents
+with len terms in all. Searches without a stored index make the rows of the
+query's terms only, and keep them in the shared folder while they score.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql.window import Window
 
 from ..functions.analysis import Analyzer, Highlight
 from ..functions.filters import bind, compile_filter
-from ..functions.partitions import spread
+from ..functions.partitions import materialize, spread
 from . import ranking as R
 from . import search as S
 
@@ -63,15 +64,22 @@ def build_index(df: DataFrame, schema: list[FieldSchema], only: dict[str, set[st
             colls, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, s in enumerate(schema):
                 wanted = None if only is None else only.get(s.field, set())
+                totals: dict[str, list[int]] = {}
                 for coll, id, text in zip(colls, ids, b.column(2 + i).to_pylist(), strict=True):
                     if not text:
                         continue
                     counts = Counter(s.analyzer.terms(text))
                     length = sum(counts.values())
                     found = counts if wanted is None else {t: counts[t] for t in wanted & counts.keys()}
-                    for term, tf in [(None, 0), *found.items()]:
+                    for term, tf in found.items():
                         for c, v in zip(cols, (coll, s.field, term, id, tf, length), strict=True):
                             c.append(v)
+                    total = totals.setdefault(coll, [0, 0])
+                    total[0] += 1
+                    total[1] += length
+                for coll, (n, length) in totals.items():
+                    for c, v in zip(cols, (coll, s.field, None, None, n, length), strict=True):
+                        c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
     return spread(df.select("collection", "id", *texts)).mapInArrow(run, INDEX)
@@ -122,7 +130,7 @@ def bm25(index: DataFrame, schema: list[FieldSchema], query: TextQuery) -> DataF
             continue
         s = by[field]
         own = index.where(F.col("field") == field)
-        stats = own.where("term is null").groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
+        stats = own.where("term is null").groupBy("collection").agg(F.sum("tf").alias("n"), (F.sum("len") / F.sum("tf")).alias("mean"))
         postings = own.where(F.col("term").isin(terms))
         frequency = postings.groupBy("collection", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "collection")
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -142,7 +150,7 @@ def text_search(df: DataFrame, query: TextQuery, schema: list[FieldSchema], opts
     The filter applies after scoring, so statistics are of all documents in scope.
     """
     rows = S.scoped(df, opts.scope)
-    index = build_index(rows, schema, query.terms(schema)) if index is None else S.scoped(index, opts.scope)
+    index = materialize(build_index(rows, schema, query.terms(schema))) if index is None else S.scoped(index, opts.scope)
     hits = bm25(index, schema, query)
     if not explain:
         hits = hits.drop("clauses")

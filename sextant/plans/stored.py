@@ -5,7 +5,6 @@ Each builds a store of its own in the shared checkpoint folder.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking as C
 from ..functions import filters as P
+from ..functions.partitions import checkpoint_folder
 from ..operators import listing
 from ..operators import search as S
 from ..operators.memory import Memory, alive
@@ -25,10 +25,7 @@ NOW = 1705000000000
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-sextant-"))
-    return f"{sc.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/store-{uuid.uuid4().hex}"
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:

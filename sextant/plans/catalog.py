@@ -227,9 +227,9 @@ filtered("filter_lt", "orders", P.Lt("o_totalprice", 50000.0), "o_totalprice < 5
 filtered("filter_le_datetime", "orders", P.Le("o_orderdate", P.DateTime(820454400000)), "epoch_ms(o_orderdate) <= 820454400000")
 filtered("filter_gt_datetime", "events", P.Gt("ts", P.DateTime(1705000000000)), "epoch_ms(ts) > 1705000000000")
 filtered("filter_ge", "part", P.Ge("p_size", 40), "p_size >= 40")
-filtered("filter_glob", "part", P.Glob("p_type", "*[A-M]?ASS*"), "p_type GLOB '*[A-M]?ASS*'")
-filtered("filter_iglob", "part", P.IGlob("p_name", "*part*1*"), "lower(p_name) GLOB '*part*1*'")
-filtered("filter_regex", "pages", P.Regex("url", r"https?://[^/]*/.*[0-9]+.*"), r"regexp_full_match(url, 'https?://[^/]*/.*[0-9]+.*')")
+filtered("filter_glob", "part", P.Glob("p_type", "?[!A-L]*[DM]*"), "p_type GLOB '?[!A-L]*[DM]*'")
+filtered("filter_iglob", "part", P.IGlob("p_brand", "BRAND#1?"), "lower(p_brand) GLOB 'brand#1?'")
+filtered("filter_regex", "pages", P.Regex("url", r"https?://[^/]*/.*[0-4]\D*"), r"regexp_full_match(url, 'https?://[^/]*/.*[0-4]\D*')")
 filtered("filter_fuzzy", "part", P.Fuzzy("p_brand", "brand#12", 1), "levenshtein(lower(p_brand), 'brand#12') <= 1")
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 filtered("filter_tokens_all", "documents", P.ContainsAllTokens("text", "that the With"), f"list_has_all({TOKENS}, ['that', 'the', 'with'])")
@@ -281,11 +281,11 @@ def findex_tokens(spark, d):
     return findex.narrowed(df, FINDEX, findex.build(df, fields), fields).select("id")
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS id FROM part WHERE levenshtein(lower(p_type), 'standard brass') <= 2")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id FROM part WHERE levenshtein(lower(p_name), 'smoll ring') <= 1")
 def findex_fuzzy(spark, d):
     df = collection(spark, d, "part")
-    fields = [findex.FilterField("p_type", tokens=False, trigrams=True)]
-    return findex.narrowed(df, P.Fuzzy("p_type", "standard brass", 2), findex.build(df, fields), fields, worth=None).select("id")
+    fields = [findex.FilterField("p_name", tokens=False, trigrams=True)]
+    return findex.narrowed(df, P.Fuzzy("p_name", "smoll ring", 1), findex.build(df, fields), fields, worth=None).select("id")
 
 
 # --- ranking, listing, aggregation --------------------------------------------------------------------------------

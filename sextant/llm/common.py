@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from ..functions.partitions import checkpoint_folder, materialize, spread  # noqa: F401
+
 #: Prefix of working columns, so that columns of the input may have any other name.
 TMP = "__sx_"
 #: Rows that a rank group should hold at most, on average (see ``with_rank``).
@@ -20,23 +21,6 @@ RANK_GROUP_ROWS = 500
 CHUNK_CHARS = 2_000_000
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder, from the session's ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests, local runs) is a temporary folder made.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-sextant-"))
-    return sc.getCheckpointDir()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage; the copy survives lost executors."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def arrow_map(
     df: DataFrame,
     fields: list[tuple[str, T.DataType]],

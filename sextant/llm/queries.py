@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import fingerprint, langid, licenses, linededup, mixing, packing, quality, secretscan, simhash, toxicity
-from ..functions.partitions import spread
-from .common import read_documents
+from .common import read_documents, spread
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,33 +1,42 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame operations.
 
-Each source is a periodic task of its target weight w whose jobs are blocks of
+Each source is a task of its target weight w whose jobs are blocks of
 ``block_docs`` documents. Block j (from 0) is released at floor(j / w) and due at
 ceil((j + 1) / w); in each slot the released block with the earliest deadline
-goes. With weights that are whole shares of ``period`` slots the schedule
-repeats, no block is late, and at any time each source is less than one block
-from its share of the slots. When a source has given its last block a new
-stretch begins, in which the others' shares are raised in proportion.
-
-Only the sources with their counts reach the driver (``MAX_SOURCES`` at most);
-the schedule goes back as a small table of the stretches between exhaustions,
-each with its slots of one period. Every document is kept; documents get ranks within their
-source without bringing a source to one task.
+goes. No block is late, and at any time each source is less than one block from
+its target share of the slots, however many there are. When a source has given
+its last block a new stretch begins, in which the others' weights are raised in
+proportion.
+
+Only the sources with their counts reach the driver (``MAX_SOURCES`` at most). It
+goes through the slots once, one for ``block_docs`` documents, and hands them
+to Spark ``CHUNK`` at a time. Where the caller gives a ``period``, weights are
+rounded to whole shares of so many slots and the schedule repeats; it goes to Spark as a small
+table of the stretches, each with its slots of one period. Every document is
+kept; documents get ranks within their source without bringing a source to one task.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TMP, unique_rows, with_rank
+from .common import TMP, materialize, unique_rows, with_rank
 
 BLOCK_DOCS = 16
-MAX_SOURCES = 500
-#: Slots of all stretches' periods together, about; a period has this many for each source, 1000 at least.
-SLOTS = 400_000
+#: Sources at most; each one that ends costs the driver a step over those that are left.
+MAX_SOURCES = 5000
+#: Slots that the driver holds at a time.
+CHUNK = 1_000_000
+#: Weights are whole shares of about this number, so that they are off by less than a block in 2^60 slots.
+WHOLE = 1 << 60
 #: Default weights: documents to this power, which evens out large and small sources.
 POWER = 0.5
 
@@ -63,10 +72,9 @@ def pattern(share: dict[str, int]) -> list[str]:
     return slots
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, float], period: int | None = None) -> list[dict]:
+def schedule(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[dict]:
     """Stretches: source, its first block and number of blocks there, the stretch's first slot and period, and the source's slots of a period."""
     left = {s: n for s, n in blocks.items() if n > 0}
-    period = period or max(1000, SLOTS // max(1, len(left)))
     given = dict.fromkeys(left, 0)
     stretches, start = [], 0
     while left:
@@ -97,6 +105,53 @@ def schedule(blocks: dict[str, int], weights: dict[str, float], period: int | No
     return stretches
 
 
+def turns(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[str]:
+    """The source of each slot, by earliest deadline first among released blocks (ties by source) at the weights themselves."""
+    left = {s: n for s, n in blocks.items() if n > 0}
+    scale = max(weights[s] for s in left) if left else 1
+    whole = {s: max(1, round(weights[s] / scale * WHOLE)) for s in left}
+    while left:
+        total = sum(whole[s] for s in left)
+        coming = [(0, -(-total // whole[s]), s, 0) for s in left]
+        heapq.heapify(coming)
+        ready: list[tuple[int, str, int]] = []
+        t, ended = 0, False
+        while not ended:
+            while coming and coming[0][0] <= t:
+                _, due, s, j = heapq.heappop(coming)
+                heapq.heappush(ready, (due, s, j))
+            due, s, j = heapq.heappop(ready)
+            assert due > t, "a block is late"
+            yield s
+            left[s] -= 1
+            ended = not left[s]
+            if not ended:
+                heapq.heappush(coming, ((j + 1) * total // whole[s], -(-(j + 2) * total // whole[s]), s, j + 1))
+            t += 1
+        del left[s]
+
+
+def _slot_table(docs: DataFrame, blocks: dict[str, int], weights: dict[str, float]) -> DataFrame:
+    """(__sx_of, __sx_nth, __sx_slot): the slot of every block of every source."""
+    names = sorted(blocks)
+    code = {s: i for i, s in enumerate(names)}
+    given = np.zeros(len(names), np.int64)
+    order = turns(blocks, weights)
+    parts, start, total = [], 0, sum(blocks.values())
+    while start < total or not parts:
+        n = min(CHUNK, total - start)
+        codes = np.fromiter((code[next(order)] for _ in range(n)), np.int64, n)
+        nth = np.empty(n, np.int64)
+        by = np.argsort(codes, kind="stable")
+        counts = np.bincount(codes, minlength=len(names))
+        nth[by] = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(given, counts)
+        given += counts
+        table = pa.table({TMP + "of": pa.array(names, pa.string()).take(pa.array(codes)), TMP + "nth": nth, TMP + "slot": np.arange(start, start + n)})
+        parts.append(materialize(docs.sparkSession.createDataFrame(table)))
+        start += n
+    return reduce(DataFrame.unionAll, parts)
+
+
 def source_key(source: Column) -> Column:
     """The source's name, marked so that a null source is one of its own."""
     return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
@@ -113,17 +168,22 @@ def with_positions(docs: DataFrame, weights: dict[str | None, float] | None = No
     given = None if weights is None else {"null" if s is None else f"={s}": w for s, w in weights.items()}
     if given is not None and (bad := [s for s in sizes if not given.get(s, 0) > 0]):
         raise ValueError(f"no positive weight for sources {sorted(bad)[:5]}")
-    stretches = schedule({s: -(-n // block_docs) for s, n in sizes.items()}, given or {s: n**POWER for s, n in sizes.items()}, period)
-    # MAX_SOURCES stretches a source and about SLOTS slots at most: small, whatever the number of documents.
-    kind = "array<struct<source string, first long, blocks long, start long, length int, slots array<int>>>"
-    table = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(stretches)), kind)).alias("r")).select(*[F.col(f"r.{c[len(TMP):]}").alias(c) for c in (first, blocks, start, length, slots)], F.col("r.source").alias(TMP + "of"))
+    counts, targets = {s: -(-n // block_docs) for s, n in sizes.items()}, given or {s: n**POWER for s, n in sizes.items()}
     by = F.xxhash64(*unique_rows(docs), *([F.col("text")] if "text" in docs.columns else []))
     ranked = with_rank(keyed, [key], by, unique_rows(docs), at, sum(sizes.values())).withColumn(block, F.floor(F.col(at) / block_docs).cast("long"))
+    position = F.col(TMP + "slot") * block_docs + F.col(at) % block_docs
+    if period is None:
+        table = _slot_table(docs, counts, targets)
+        placed = ranked.join(table, (F.col(key) == F.col(TMP + "of")) & (F.col(block) == F.col(TMP + "nth")))
+        return placed.withColumn(TMP + "position", position.cast("long")).select(*docs.columns, block, TMP + "slot", TMP + "position")
+    stretches = schedule(counts, targets, period)
+    # A period's slots for each stretch: small, whatever the number of documents.
+    kind = "array<struct<source string, first long, blocks long, start long, length int, slots array<int>>>"
+    table = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(stretches)), kind)).alias("r")).select(*[F.col(f"r.{c[len(TMP):]}").alias(c) for c in (first, blocks, start, length, slots)], F.col("r.source").alias(TMP + "of"))
     inside = (F.col(block) >= F.col(first)) & (F.col(block) < F.col(first) + F.col(blocks))
     placed = ranked.join(F.broadcast(table), (F.col(key) == F.col(TMP + "of")) & inside)
     nth, each = F.col(block) - F.col(first), F.size(slots)
     slot = F.col(start) + F.floor(nth / each) * F.col(length) + F.get(F.col(slots), (nth % each).cast("int"))
-    position = F.col(TMP + "slot") * block_docs + F.col(at) % block_docs
     return placed.withColumn(TMP + "slot", slot.cast("long")).withColumn(TMP + "position", position.cast("long")).select(*docs.columns, block, TMP + "slot", TMP + "position")
 
 

@@ -35,6 +35,8 @@ BLOCK_DOCS = 16
 MAX_SOURCES = 5000
 #: Slots that the driver holds at a time.
 CHUNK = 1_000_000
+#: The column of ``with_positions`` that sorts the documents.
+POSITION = TMP + "position"
 #: Weights are whole shares of about this number, so that they are off by less than a block in 2^60 slots.
 WHOLE = 1 << 60
 #: Default weights: documents to this power, which evens out large and small sources.

@@ -22,12 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
 from .common import TMP, materialize, with_rank
 
 SIZE = 2048
 #: Documents of a pattern at most.
 FEW = 3
+#: Documents, in their order, that ``pack_in_order`` packs together.
+WINDOW = 1 << 11
 #: Steps of the least-squares fit.
 STEPS = 250
 #: Pieces of text whose ids a worker remembers (twice as many for a while), and the longest such piece.
@@ -108,10 +111,10 @@ def cuts(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, size) for s in range(first, n, size)]
 
 
-def tokenize(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) for every piece of every row; a document's ids are followed by ``end_id``."""
+def tokenize(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) and the columns ``keep`` for every piece of every row; a document's ids are followed by ``end_id``."""
     ints = ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())
-    out = T.StructType([docs.schema["doc_id"], *[T.StructField(n, t) for n, t in ints]])
+    out = T.StructType([docs.schema["doc_id"], *[T.StructField(n, t) for n, t in ints], *[docs.schema[c] for c in keep]])
     arrow = to_arrow_schema(out)
     end = np.array([end_id], "<u4").tobytes()
 
@@ -130,9 +133,10 @@ def tokenize(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0)
                     crc.append(zlib.crc32(ids[4 * s : 4 * (s + n)]))
             ids = batch.column(0).take(pa.array(row, pa.int64())).cast(arrow.field(0).type)
             cols = [pa.array(v, arrow.field(j + 1).type) for j, v in enumerate((piece, start, length, crc))]
-            yield pa.RecordBatch.from_arrays([ids, *cols], schema=arrow)
+            kept = [batch.column(2 + j).take(pa.array(row, pa.int64())).cast(arrow.field(5 + j).type) for j in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([ids, *cols, *kept], schema=arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, out)
 
 
 def patterns(present: np.ndarray, size: int) -> np.ndarray:
@@ -286,3 +290,55 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     gives an empty result.
     """
     return pack_pieces(materialize(tokenize(docs, tokenizer, size)), size)
+
+
+def places(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of pieces in their order: a best-fit plan whose patterns are spread evenly over the sequences and take the pieces of each length in turn."""
+    table, base = [], 0
+    for p, (pattern, n) in enumerate(best_fit(np.bincount(lengths, minlength=size + 1), size)):
+        r = np.arange(n)
+        at, offset = (r + p * 0.6180339887498949 % 1) / n, 0
+        for v in pattern:
+            table.append(np.array([np.full(n, v), at, base + r, np.full(n, offset)], float))
+            offset += v
+        base += n
+    length, at, sequence, offset = np.concatenate(table, axis=1)
+    order = np.lexsort((offset, sequence, at, length))
+    # Sequences are numbered by where they are, with their number in the plan for ties.
+    first = np.zeros(base)
+    first[sequence.astype(np.int64)] = at
+    number = np.empty(base, np.int64)
+    number[np.argsort(first, kind="stable")] = np.arange(base)
+    takes = np.argsort(lengths, kind="stable")
+    out = np.empty((2, len(lengths)), np.int64)
+    out[0, takes] = number[sequence[order].astype(np.int64)]
+    out[1, takes] = offset[order].astype(np.int64)
+    return out[0], out[1]
+
+
+def pack_in_order(docs: DataFrame, tokenizer: str, position: str, size: int = SIZE, window: int = WINDOW) -> DataFrame:
+    """Like ``pack``, with sequences in the order of the column ``position`` (unique, from 0, with few gaps).
+
+    Each ``window`` positions are packed best fit together (their counts by length are
+    too small for the fitted patterns to gain) and their sequences follow
+    those of the windows before. Within a window the pieces of each length go
+    to its sequences in the order of their positions.
+    """
+    group, local = TMP + "window", TMP + "local"
+    keyed = docs.select("doc_id", "text", F.col(position).alias(position)).withColumn(group, F.floor(F.col(position) / window).cast("long"))
+    pieces = materialize(tokenize(keyed, tokenizer, size, keep=(position, group)))
+    fields = [f for f in pieces.schema.fields if f.name != position]
+    out = T.StructType([*fields, T.StructField(local, T.LongType()), T.StructField("offset", T.LongType())])
+    arrow = to_arrow_schema(out)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(position, "ascending"), ("piece", "ascending")])
+        new = places(table.column("length").to_numpy().astype(np.int64), size)
+        cols = [table.column(f.name).cast(arrow.field(j).type) for j, f in enumerate(fields)] + [pa.array(v, pa.int64()) for v in new]
+        return pa.Table.from_arrays(cols, schema=arrow)
+
+    packed = materialize(pieces.groupBy(group).applyInArrow(run, out))
+    counts = packed.groupBy(group).agg((F.max(local) + 1).alias("n"))
+    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(TMP + "start"))
+    return packed.join(starts, group).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col(TMP + "start") + F.col(local)).alias("sequence_id"), "offset")

@@ -29,15 +29,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import arrow_map
 
 SAMPLES = 128
-#: Remembered (term, count) pairs per worker, 1 KB each.
-CACHE = 160_000
-#: Pairs whose draws are made at a time.
-BLOCK = 512
+#: Remembered (term, count) pairs per worker, 1 KB each; pairs seen once, which are remembered when they come again; texts whose signatures are remembered.
+CACHE, ONCE, TEXTS = 160_000, 300_000, 20_000
+#: Pairs whose draws are made at a time: their arrays fit the processor's cache.
+BLOCK = 256
+#: Pairs at most that wait for their draws together.
+NEW = 4096
+#: Documents of a batch that are compared together.
+ROWS = 200
 #: Rows of a bucket, about, when texts are brought beside their successors; and buckets at most.
 BUCKET_ROWS, MAX_BUCKETS = 1000, 50_000
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
-_U = np.uint64
+_U, _H = np.uint64, np.uint32
 
 
 def terms(text: str | None) -> Counter:
@@ -46,81 +50,138 @@ def terms(text: str | None) -> Counter:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    """32-bit hash, in place."""
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        x ^= x >> _H(shift)
+        x *= _H(factor)
+    x ^= x >> _H(16)
+    return x
 
 
-def _draws(seeds: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(r, ln c, beta) for each seed and sample, float32."""
-    k = (np.arange(1, samples + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))[None, :]
-    one = _mix(seeds[:, None] ^ k)
-    two = _mix(one + _U(0xD1B54A32D192ED03))
-
-    def uniform(h: np.ndarray, at: int, bits: int) -> np.ndarray:
-        part = (h >> _U(at)) & _U((1 << bits) - 1)
-        return (part.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-bits)
-
-    r = -np.log(uniform(one, 0, 21) * uniform(one, 21, 21))
-    c = -np.log(uniform(one, 42, 22) * uniform(two, 0, 22))
-    return r, np.log(c), uniform(two, 22, 23)
+def _uniform(h: np.ndarray, bits: int) -> np.ndarray:
+    """The middles of 2^bits cells of (0, 1), from the top bits of 32-bit hashes."""
+    u = (h >> _H(32 - bits)).astype(np.float32)
+    u += np.float32(0.5)
+    u *= np.float32(2.0**-bits)
+    return u
 
 
 def packed(pairs: list[tuple[bytes, int]], samples: int = SAMPLES) -> np.ndarray:
-    """One int64 per pair and sample: ln a as an ordered 32-bit integer above, a hash of (term, t) below."""
+    """One int64 per pair and sample: a as the bits of a positive float above, a hash of (term, t) below.
+
+    r and beta come as r = e + f and beta = f / r of two unit exponentials, which gives
+    them the distributions that they must have. So a = c exp(-e - r t), and a
+    pair of count one, whose t is 0, needs c and the uniform u = exp(-e) alone.
+    """
     seeds = np.array([xxhash.xxh64_intdigest(w) for w, _ in pairs], dtype=_U)
+    k = (np.arange(1, samples + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) >> _U(32)).astype(_H)[None, :]
+    low, high = seeds.astype(_H), (seeds >> _U(32)).astype(_H)
+    h = _mix(low[:, None] ^ k)
+    a = _uniform(h, 16)
+    a *= _uniform(h << _H(16), 16)
+    np.log(a, out=a)  # -c, a draw of Gamma(2, 1)
+    h ^= high[:, None]
+    u = _uniform(_mix(h), 24)
+    a *= u
+    np.negative(a, out=a)
+    name = _mix(low ^ high)
+    which = np.empty(a.shape, _H)
+    which[:] = name[:, None]
     counts = np.array([n for _, n in pairs], dtype=np.float32)
-    r, ln_c, beta = _draws(seeds, samples)
-    more = counts > 1  # for a count of one, ln S and so t are zero
-    ln_a = ln_c - r * (1 - beta)
-    which = np.broadcast_to(_mix(seeds)[:, None], r.shape)
-    if more.any():
-        t = np.floor(np.log(counts[more])[:, None] / r[more] + beta[more])
-        ln_a[more] -= r[more] * t
-        which = which.copy()
-        which[more] = _mix(seeds[more][:, None] + t.astype(np.int64).astype(_U) * _U(0x9E3779B97F4A7C15))
-    bits = ln_a.astype(np.float32).view(np.int32)
-    order = (bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))).astype(np.int64) << 32
-    return order | (which & _U(0xFFFFFFFF)).astype(np.int64)
+    more = np.nonzero(counts > 1)[0]
+    if len(more):
+        f = -np.log(_uniform(_mix(h[more] + low[more, None]), 24))
+        r = f - np.log(u[more])
+        t = np.floor((np.log(counts[more])[:, None] + f) / r)
+        a[more] *= np.exp(-r * t)
+        which[more] = _mix(name[more, None] + t.astype(np.int64).astype(_H) * _H(0x9E3779B1)) * (t > 0) + which[more] * (t == 0)
+    order = a.view(np.int32).astype(np.int64)
+    order <<= 32
+    order |= which
+    return order
 
 
 class Sampler:
-    """Signatures of texts; remembers the draws of frequent pairs."""
+    """Signatures of texts; remembers the draws of frequent pairs and the signatures of recent texts."""
 
     def __init__(self, samples: int = SAMPLES):
-        self.samples, self.place = samples, {}
+        self.samples = samples
+        self.place: dict = {}  # a pair's row; a pair of count one goes by its term alone
+        self.once: set = set()
+        self.texts: dict[bytes, bytes] = {}
         self.rows = np.empty((0, samples), np.int64)
 
-    def _room(self, more: int) -> None:
-        if len(self.place) + more > CACHE:
+    def _remember(self, keys: list, made: np.ndarray) -> None:
+        """Keep the rows of those keys that were seen before."""
+        again = [i for i, x in enumerate(keys) if x in self.once]
+        if len(self.once) > ONCE:
+            self.once.clear()
+        self.once.update(keys)
+        if not again:
+            return
+        if len(self.place) + len(again) > CACHE:
             self.place.clear()
-        need = len(self.place) + more
+        start, need = len(self.place), len(self.place) + len(again)
         if need > len(self.rows):
             grown = np.empty((min(CACHE, max(1024, 2 * need)), self.samples), np.int64)
-            grown[: len(self.rows)] = self.rows
+            grown[:start] = self.rows[:start]
             self.rows = grown
+        self.rows[start:need] = made[again]
+        self.place.update((keys[i], at) for at, i in enumerate(again, start))
+        self.once.difference_update([keys[i] for i in again])
+
+    def _drawn(self, keys: list) -> np.ndarray:
+        pairs = [x if type(x) is tuple else (x, 1) for x in keys]
+        return np.concatenate([packed(pairs[at : at + BLOCK], self.samples) for at in range(0, len(pairs), BLOCK)])
+
+    def signatures(self, texts: list[str | None]) -> list[bytes]:
+        """16 bits per sample, big-endian, for each text; zeros for a text without terms."""
+        names = [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+        out = {x: self.texts[x] for x in names if x in self.texts}
+        new: dict = {}
+        waiting: list[tuple[bytes, np.ndarray, list[int]]] = []
+
+        def flush() -> None:
+            if new:
+                keys = list(new)
+                made = self._drawn(keys)
+            for x, least, at in waiting:
+                if at:
+                    np.minimum(least, made[at].min(axis=0), out=least)
+                # A sample of zeros marks the empty text only.
+                out[x] = (least & 0xFFFF).clip(1).astype(">u2").tobytes()
+            if new:
+                self._remember(keys, made)
+            new.clear()
+            waiting.clear()
+
+        for x, text in zip(names, texts, strict=True):
+            if x in out:
+                continue
+            out[x] = b"\0" * (2 * self.samples)
+            keys = [w if n == 1 else (w, n) for w, n in terms(text).items()]
+            if not keys:
+                continue
+            least = np.full(self.samples, np.iinfo(np.int64).max)
+            places = list(map(self.place.get, keys))
+            known = np.array([p for p in places if p is not None], np.intp)
+            for at in range(0, len(known), 1024):
+                np.minimum(least, self.rows[known[at : at + 1024]].min(axis=0), out=least)
+            unknown = [k for k, p in zip(keys, places, strict=True) if p is None]
+            while len(unknown) > NEW:  # a very long text: in parts
+                part, unknown = unknown[:NEW], unknown[NEW:]
+                np.minimum(least, self._drawn(part).min(axis=0), out=least)
+            if len(new) + len(unknown) > NEW:
+                flush()
+            waiting.append((x, least, [new.setdefault(k, len(new)) for k in unknown]))
+        flush()
+        if len(self.texts) + len(out) > TEXTS:
+            self.texts.clear()
+        self.texts.update(out)
+        return [out[x] for x in names]
 
     def signature(self, text: str | None) -> bytes:
-        """16 bits per sample, big-endian; zeros for a text without terms."""
-        weights = terms(text)
-        if not weights:
-            return b"\0" * (2 * self.samples)
-        least = np.full(self.samples, np.iinfo(np.int64).max)
-        items = list(weights.items())
-        for at in range(0, len(items), BLOCK):
-            block = items[at : at + BLOCK]
-            new = [x for x in block if x not in self.place]
-            if new:
-                self._room(len(new))  # may forget all
-                new = [x for x in block if x not in self.place]
-                self._room(len(new))
-                start = len(self.place)
-                self.rows[start : start + len(new)] = packed(new, self.samples)
-                self.place.update(zip(new, range(start, start + len(new)), strict=True))
-            rows = self.rows[np.fromiter(map(self.place.__getitem__, block), np.intp, len(block))]
-            np.minimum(least, rows.min(axis=0), out=least)
-        # A sample of zeros marks the empty text only.
-        return (least & 0xFFFF).clip(1).astype(">u2").tobytes()
+        return self.signatures([text])[0]
 
 
 _samplers: dict[int, Sampler] = {}
@@ -144,7 +205,7 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     Equal texts have equal fingerprints. Repeated rows each give a row; ids may
     be null; other columns are not read.
     """
-    return arrow_map(docs.select("doc_id", "text"), [("fingerprint", T.StringType())], lambda texts: [[sampler(samples).signature(t).hex() for t in texts]], keep=["doc_id"])
+    return arrow_map(docs.select("doc_id", "text"), [("fingerprint", T.StringType())], lambda texts: [[x.hex() for x in sampler(samples).signatures(texts)]], keep=["doc_id"])
 
 
 def edited(text: str, following: str) -> str:
@@ -220,26 +281,23 @@ def compare_with_edited(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler(samples)
-        rows: list[tuple] = []
-        held = None  # (bucket, doc_id, text, signature), until its successor is seen
-
-        def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
-            rows.clear()
-            return made
-
+        held = None  # (bucket, doc_id, text), until its successor is seen
         for batch in batches:
+            pairs = []  # a document, its text, the next text
             for b, halo, doc_id, text in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                own = s.signature(text) if not halo or held else b""
                 if held and held[0] == b:
-                    changed = edited(held[2], text)
-                    other = s.signature(changed)
-                    rows.append((held[1], len(held[2]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), held[3].hex(), other.hex(), likeness(held[3], other), likeness(held[3], own)))
-                held = None if halo else (b, doc_id, text, own)
-            if len(rows) >= 500:
-                yield flush()
-        if rows:
-            yield flush()
+                    pairs.append((held[1], held[2], text))
+                held = None if halo else (b, doc_id, text)
+            for at in range(0, len(pairs), ROWS):
+                some = pairs[at : at + ROWS]
+                changed = [edited(x, y) for _, x, y in some]
+                signs = s.signatures([x for _, x, _ in some] + [y for _, _, y in some] + changed)
+                own, after, other = signs[: len(some)], signs[len(some) : 2 * len(some)], signs[2 * len(some) :]
+                cols = [
+                    [d for d, _, _ in some], [len(x) for _, x, _ in some], [hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest() for c in changed],
+                    [x.hex() for x in own], [x.hex() for x in other], list(map(likeness, own, other)), list(map(likeness, own, after)),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
     done = dealt.repartition("bucket").sortWithinPartitions(*sort).select("bucket", "halo", "doc_id", "text").mapInArrow(run, out)
     return done.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

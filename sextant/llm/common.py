@@ -17,6 +17,8 @@ from ..functions.partitions import checkpoint_folder, materialize, spread  # noq
 TMP = "__sx_"
 #: Rows that a rank group should hold at most, on average (see ``with_rank``).
 RANK_GROUP_ROWS = 500
+#: Ranges of a key whose sizes one task sums up.
+RANK_RANGES = 1 << 14
 #: Characters of text that one vectorised step works on at most (longer texts go alone).
 CHUNK_CHARS = 2_000_000
 
@@ -69,8 +71,21 @@ def with_rank(df: DataFrame, keys: list[str], by: Column, ties: list[Column], na
     # h / 2^64 + 1/2 is in [0, 1]; monotone, so ranges follow the order of h.
     df = df.withColumn(cut, F.least(F.lit(parts - 1), F.floor((F.col(h) / F.lit(2.0**64) + 0.5) * parts)).cast("int"))
     sizes = df.groupBy(*keys, cut).agg(F.count(F.lit(1)).alias(TMP + "n"))
-    before = Window.partitionBy(*keys).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn(start, F.coalesce(F.sum(TMP + "n").over(before), F.lit(0))).drop(TMP + "n")
+
+    def before(*by: str):
+        return Window.partitionBy(*by).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
+
+    def sums(df: DataFrame, *by: str) -> DataFrame:
+        return df.withColumn(start, F.coalesce(F.sum(TMP + "n").over(before(*by)), F.lit(0))).drop(TMP + "n")
+
+    if parts <= RANK_RANGES:
+        starts = sums(sizes, *keys)
+    else:  # a hot key has too many ranges for one task: sums of spans of ranges first
+        span, base = TMP + "span", TMP + "base"
+        sizes = sizes.withColumn(span, F.floor(F.col(cut) / RANK_RANGES))
+        spans = sizes.groupBy(*keys, span).agg(F.sum(TMP + "n").alias(TMP + "n")).withColumn(cut, F.col(span))
+        spans = sums(spans, *keys).withColumnRenamed(start, base).drop(cut)
+        starts = sums(sizes, *keys, span).join(spans, [*keys, span]).withColumn(start, F.col(start) + F.col(base)).drop(span, base)
     on = [*keys, cut]
     numbered = df.withColumn(TMP + "at", F.row_number().over(Window.partitionBy(*on).orderBy(h, *ties)))
     return numbered.join(starts, on).withColumn(name, F.col(start) + F.col(TMP + "at") - 1).drop(cut, h, start, TMP + "at")

@@ -1,19 +1,19 @@
 """Best-fit packing of tokenised documents by patterns and non-negative least squares.
 
 Only the histogram of piece lengths (``size`` bins at most, whatever the number
-of documents) comes to the driver. There few-document length patterns that fill
+of documents) comes to the driver. There patterns of one to three lengths that fill
 a sequence exactly are enumerated, their repeat counts are fitted to the
 histogram by non-negative least squares and rounded, and what is left over is
-packed best fit, longest first, by length classes. The plan is a table from
+packed best fit, longest first, by length classes. Patterns place four fifths of the pieces. The plan is a table from
 (length, rank among the pieces of that length) to (sequence, offset). Pieces
 get their ranks in Spark and look themselves up.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,25 +27,51 @@ from pyspark.sql.window import Window
 from .common import TMP, materialize, with_rank
 
 SIZE = 2048
-#: Documents of a pattern at most.
-FEW = 3
-#: Documents, in their order, that ``pack_in_order`` packs together.
-WINDOW = 1 << 11
+#: Patterns of three documents in a fit, about.
+TRIPLES = 10_000
 #: Steps of the least-squares fit.
-STEPS = 250
-#: Pieces of text whose ids a worker remembers (twice as many for a while), and the longest such piece.
-CACHE, CACHE_CHARS = 400_000, 40
+STEPS = 400
+#: Share of the pieces that rounded patterns place, about; the residuals close what rounding leaves.
+SHARE = 0.8
+#: Lower shares, each taken if that saves a sequence: where pieces are few, what the patterns leave may be hard to close.
+GIVE_BACK = (0.6, 0.4, 0.2, 0.0)
+#: Documents, in their order, that ``pack_in_order`` packs together.
+WINDOW = 1 << 12
+#: Fixed value: how a byte-level vocabulary parts texts before its merges.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _encoders: dict[str, Encoder] = {}
 
 
+def _ranks(path: str) -> dict[bytes, int] | None:
+    """Bytes to ids of a byte-level BPE file whose merges are in the order of their ids; None for any other file.
+
+    Such a vocabulary gives the same ids whether its merges are looked up by
+    their place in the file or by the id of what they make.
+    """
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    model, before = made["model"], made["pre_tokenizer"] or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made["normalizer"]
+    if not plain or model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    vocab, merges = model["vocab"], [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+    if any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    # Bytes that print stand for themselves, the others for characters from 256 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = sorted(set(range(256)).difference(shown))
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(others)}
+    return {bytes(byte[c] for c in k): v for k, v in vocab.items()}
+
+
 class Encoder:
-    """Token ids as little-endian bytes, with a bounded cache of pieces of text.
+    """Token ids of texts, as arrays of unsigned 32-bit integers.
 
-    A byte-level BPE vocabulary splits a text before each blank, and around each
-    line feed, that stands alone between other than white space. So the pieces
-    between such places can be encoded alone and remembered. A text with any
-    other blank, line feed or NUL is encoded whole.
+    The vocabulary is the tokenizers file's. Where ``_ranks`` can read it, texts
+    go through the library that needs a sixth of the time for the same ids;
+    other files, and texts that it refuses (a million blanks in a row), go
+    through tokenizers.
     """
 
     def __init__(self, path: str):
@@ -54,49 +80,20 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.seen: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}  # what was seen before the last change of generation
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, which are encoded as the lines of one text, and cut at the line feeds' id."""
-        (feed,) = array("I", self._encode(["\n"])[0])
-        (all_ids,) = self._encode(["\n".join(pieces)])
-        cut = [-4, *(np.nonzero(np.frombuffer(all_ids, "<u4") == feed)[0] * 4).tolist(), len(all_ids)]
-        return [all_ids[a + 4 : b] for a, b in zip(cut, cut[1:], strict=False)]
-
-    @staticmethod
-    def _alone(piece: str) -> bool:
-        """Whether the piece may be encoded by itself; line feeds may, empty pieces show white space beside another."""
-        if piece == "\n":
-            return True
-        return piece not in ("", " ") and not (piece[1] if piece[0] == " " else piece[0]).isspace()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            parts = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-            new = set(parts).difference(self.seen)
-            if "\0" in text or not all(map(self._alone, new)):
-                yield self._encode([text])[0]
-                continue
-            if len(self.seen) + len(new) > CACHE:
-                self.old, self.seen = self.seen, {}
-                new = set(parts)
-            known = {x: self.old[x] for x in new if x in self.old}
-            missing = [x for x in new if x not in known]
-            lines = [x for x in missing if not x[-1].isspace()]
-            if lines:
-                known.update(zip(lines, self._encode_pieces(lines), strict=True))
-            if len(lines) < len(missing):
-                other = [x for x in missing if x[-1].isspace()]
-                known.update(zip(other, self._encode(other), strict=True))
-            self.seen.update((k, v) for k, v in known.items() if len(k) <= CACHE_CHARS)
-            if all(len(x) <= CACHE_CHARS for x in known):
-                yield b"".join(map(self.seen.__getitem__, parts))
-            else:
-                yield b"".join([known[x] if x in known else self.seen[x] for x in parts])
+        ranks = _ranks(path)
+        self.fast = None
+        if ranks:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding(path, pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast:
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:
+                pass
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
 
 def encoder(path: str) -> Encoder:
@@ -123,8 +120,8 @@ def tokenize(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0,
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, ids in enumerate(enc.encode(texts)):
-                ids += end
+            for i, text in enumerate(texts):
+                ids = enc.encode(text).astype("<u4", copy=False).tobytes() + end
                 for k, (s, n) in enumerate(cuts(len(ids) // 4, size)):
                     row.append(i)
                     piece.append(k)
@@ -139,42 +136,52 @@ def tokenize(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0,
     return docs.select("doc_id", "text", *keep).mapInArrow(run, out)
 
 
-def patterns(present: np.ndarray, size: int) -> np.ndarray:
-    """Rows of up to three lengths, ascending, 0 for none, that add up to ``size``; all of them are ``present``."""
+def patterns(present: np.ndarray, size: int, most: int = TRIPLES) -> np.ndarray:
+    """Rows of up to three lengths, ascending, 0 for none, that add up to ``size``; all of them are ``present``.
+
+    Of the rows of three about ``most`` are taken, spread evenly over the lengths:
+    with far more patterns than lengths a fit gives each too small a count to round.
+    """
     have = np.zeros(size + 1, bool)
     have[present] = True
     found = [np.array([[0, 0, size]])] if have[size] else []
     a = np.nonzero(have[: size // 2 + 1])[0]
     a = a[(a > 0) & have[size - a]]
     found.append(np.column_stack([np.zeros_like(a), a, size - a]))
+    three = []
     for x in np.nonzero(have[: size // 3 + 1])[0]:
         if x:
             y = np.arange(x, (size - x) // 2 + 1)
             y = y[have[y] & have[size - x - y]]
-            found.append(np.column_stack([np.full_like(y, x), y, size - x - y]))
+            three.append(np.column_stack([np.full_like(y, x), y, size - x - y]))
+    if three:
+        rows = np.concatenate(three)
+        step = -(-len(rows) // most) or 1
+        found.append(rows[(rows[:, 0] * 40503 + rows[:, 1] * 9973) % 65521 % step == 0])
     return np.concatenate(found).astype(np.int64)
 
 
 def fit(rows: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Non-negative repeat counts of the patterns that fit the histogram in the least-squares sense (accelerated projected gradient)."""
+    """Non-negative repeat counts of the patterns that fit the histogram in the least-squares sense (accelerated projected gradient).
+
+    Each length's square is weighted by one over the number of patterns that
+    have it, which makes one step size right for all.
+    """
     bins = len(counts)
-    use = rows > 0
+    cols = [np.ascontiguousarray(c) for c in rows.T]
 
     def forward(x):
-        return sum(np.bincount(rows[:, j], x * use[:, j], bins) for j in range(rows.shape[1]))
-
-    def back(r):
-        return (r[rows] * use).sum(axis=1)
+        out = sum(np.bincount(c, x, bins) for c in cols)
+        out[0] = 0.0
+        return out
 
-    v = np.ones(len(rows))
-    for _ in range(12):
-        v = back(forward(v))
-        norm = float(np.linalg.norm(v)) or 1.0
-        v /= norm
+    weight = 1.0 / np.maximum(1.0, forward(np.ones(len(rows)))) / rows.shape[1]
     x = y = np.zeros(len(rows))
     t = 1.0
     for _ in range(steps):
-        new = np.maximum(0.0, y - back(forward(y) - counts) / (1.01 * norm))
+        r = weight * (forward(y) - counts)
+        r[0] = 0.0
+        new = np.maximum(0.0, y - sum(r[c] for c in cols))
         t, old = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         x, y = new, new + (old - 1) / t * (new - x)
     return x
@@ -209,35 +216,48 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]
     return [(tuple(c), n) for group in room for c, n in group]
 
 
-def rounded(rows: np.ndarray, x: np.ndarray, counts: np.ndarray, up: float, size: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns repeated floor(x + up) times, as far as pieces are there, and the rest packed best fit."""
-    left, done = counts.copy(), []
+def rounded(rows: np.ndarray, x: np.ndarray, counts: np.ndarray, size: int, share: float = SHARE) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """((lengths, repeats) of the patterns, what they leave of ``counts``): the fit rounded down, then by largest remainders, until ``share`` of the pieces are placed.
+
+    Remainders don't count for patterns with a piece under ``size`` / 32: such pieces are what closes the
+    sequences of the residuals.
+    """
+    left, times = counts.copy(), np.zeros(len(rows), np.int64)
+    goal = counts.sum() * (1 - share)
+
+    def take(i: int, n: int) -> None:
+        lengths = [v for v in rows[i].tolist() if v]
+        n = min(n, -int(-(left.sum() - goal) // len(lengths)), *(int(left[v]) // lengths.count(v) for v in lengths))
+        for v in lengths:
+            left[v] -= n
+        times[i] += n
+
     for i in np.argsort(-x, kind="stable"):
-        if x[i] + up < 1:
+        if x[i] < 1 or left.sum() <= goal:
+            break
+        take(i, int(x[i]))
+    rest = x - np.floor(x)
+    rest[np.where(rows > 0, rows, size).min(axis=1) < size // 32] = 0.0
+    for i in np.argsort(-rest, kind="stable"):
+        if rest[i] <= 1e-4 or left.sum() <= goal:
             break
-        lengths = tuple(v for v in rows[i].tolist() if v)
-        n = min(int(x[i] + up), *(int(left[v]) // lengths.count(v) for v in lengths))
-        if n:
-            for v in lengths:
-                left[v] -= n
-            done.append((lengths, n))
-    return done + best_fit(left, size)
+        take(i, 1)
+    return [(tuple(v for v in rows[i].tolist() if v), int(times[i])) for i in np.nonzero(times)[0]], left
 
 
 def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, repeats) that hold every piece of the histogram ``counts`` (by length, 0 to ``size``) exactly once.
-
-    Of several roundings of the fitted repeats the one of fewest sequences is
-    taken; where all counts are small the last one leaves everything to best fit.
-    """
+    """(lengths, repeats) that hold every piece of the histogram ``counts`` (by length, 0 to ``size``) exactly once: rounded patterns, then residuals best fit; with the largest share of patterns that takes fewest sequences."""
     counts = counts.astype(np.int64)
     present = np.nonzero(counts)[0]
     if not len(present):
         return []
     rows = patterns(present, size)
-    x = fit(rows, counts.astype(float)) if len(rows) else np.zeros(0)
-    plans = [rounded(rows, x, counts, up, size) for up in (0.5, 0.25, 0.0, -1.0, -np.inf)]
-    return min(plans, key=lambda p: sum(n for _, n in p))
+    x = fit(rows, counts.astype(float))
+    made = []
+    for share in (SHARE, *GIVE_BACK):
+        done, left = rounded(rows, x, counts, size, share)
+        made.append(done + best_fit(left, size))
+    return min(made, key=lambda p: sum(n for _, n in p))  # the first of the fewest
 
 
 def slots(done: list[tuple[tuple[int, ...], int]], size: int) -> dict[str, np.ndarray]:
@@ -293,9 +313,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
 
 
 def places(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of pieces in their order: a best-fit plan whose patterns are spread evenly over the sequences and take the pieces of each length in turn."""
+    """(sequence, offset) of pieces in their order: a plan (see ``plan``) whose patterns are spread evenly over the sequences and take the pieces of each length in turn."""
     table, base = [], 0
-    for p, (pattern, n) in enumerate(best_fit(np.bincount(lengths, minlength=size + 1), size)):
+    for p, (pattern, n) in enumerate(plan(np.bincount(lengths, minlength=size + 1), size)):
         r = np.arange(n)
         at, offset = (r + p * 0.6180339887498949 % 1) / n, 0
         for v in pattern:
@@ -319,10 +339,10 @@ def places(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 def pack_in_order(docs: DataFrame, tokenizer: str, position: str, size: int = SIZE, window: int = WINDOW) -> DataFrame:
     """Like ``pack``, with sequences in the order of the column ``position`` (unique, from 0, with few gaps).
 
-    Each ``window`` positions are packed best fit together (their counts by length are
-    too small for the fitted patterns to gain) and their sequences follow
-    those of the windows before. Within a window the pieces of each length go
-    to its sequences in the order of their positions.
+    Each ``window`` positions have a plan of their own, from the histogram of
+    their lengths, and their sequences follow those of the windows before. So
+    sources whose lengths differ keep their places. Within a window the pieces
+    of each length go to its sequences in the order of their positions.
     """
     group, local = TMP + "window", TMP + "local"
     keyed = docs.select("doc_id", "text", F.col(position).alias(position)).withColumn(group, F.floor(F.col(position) / window).cast("long"))

@@ -6,6 +6,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
+import pyarrow.parquet as pq
+import pytest
 
 import __spark_entry__ as e
 from sextant.llm import fingerprint as X
@@ -166,10 +169,34 @@ def test_plan_holds_every_piece():
         assert sum(n for _, n in done) <= sum(n for _, n in K.best_fit(counts, 128))
 
 
-def test_encoder_equals_whole_texts():
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_patterns_place_most_pieces(sf):
+    texts = pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"])["text"].to_pylist()
+    enc = K.encoder(tokenizer_path())
+    counts = np.bincount([n for t in texts for _, n in K.cuts(len(enc.encode(t or "")) + 1, 2048)], minlength=2049)
+    rows = K.patterns(np.nonzero(counts)[0], 2048)
+    x = K.fit(rows, counts.astype(float))
+    fitted = sum(np.bincount(c, x, 2049) for c in rows.T)
+    assert np.abs((fitted - counts)[1:]).sum() < 0.05 * counts.sum()
+    done, left = K.rounded(rows, x, counts, 2048)
+    assert all(sum(p) == 2048 for p, _ in done) and left.sum() <= 0.25 * counts.sum()
+    assert sum(n for _, n in K.plan(counts, 2048)) == sum(n for _, n in done) + sum(n for _, n in K.best_fit(left, 2048))
+    # No more sequences than best fit alone takes, and within one of the least number.
+    n = sum(n for _, n in done) + sum(n for _, n in K.best_fit(left, 2048))
+    assert n <= sum(n for _, n in K.best_fit(counts, 2048)) and n <= -(-int(counts @ np.arange(2049)) // 2048) + 1
+
+
+def test_encoder_equals_the_tokenizer():
     enc, rng = K.Encoder(tokenizer_path()), random.Random(1)
-    parts = ["a", "the", " ", " ", "\n", "\t", "'s", ".", "1", "é", "<|endoftext|>", "　", "\0", "\r\n", " a b", "\nx"]
-    for _ in range(3000):
-        s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
-        want = enc.tokenizer.encode(s, add_special_tokens=False).ids
-        assert np.frombuffer(next(enc.encode([s])), "<u4").tolist() == want
+    assert enc.fast
+    parts = ["a", "the", " ", " ", "\n", "\t", "'s", ".", "1", "é", "<|endoftext|>", "\u3000", "\0", "\r\n", " a b", "\nx"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    texts += [r["text"] or "" for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()] + [" " * 1_000_000, "a" * 100_000]
+    for s in texts:
+        assert enc.encode(s).tolist() == enc.tokenizer.encode(s, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_go_through_tokenizers():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc = K.Encoder(path)
+    assert enc.fast is None and enc.encode("The cat sat.").tolist() == enc.tokenizer.encode("The cat sat.", add_special_tokens=False).ids

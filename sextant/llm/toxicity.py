@@ -1,13 +1,13 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-A bounded set of labelled examples is indexed by the terms that tell the labels
-apart: candidates by chi-squared, of which those are taken in turn that mark
-most examples not yet marked twice, so that the words of one often copied
-document don't count as signs. Terms are weighted by counts and by document
-frequency over the whole corpus. For a text the blocks' upper bounds are summed from per-block
-maxima; blocks are scored exactly until none that is left can reach the k
-nearest. The neighbours vote with weights that grow with their cosine; votes are
-calibrated by isotonic regression on the examples' own leave-one-out votes.
+A bounded set of labelled examples, one for each distinct text, is indexed by
+all terms that two or more of them have. Terms are weighted by counts and by
+document frequency over the whole corpus. For a text the blocks' upper bounds
+are summed from per-block maxima; blocks are scored exactly until none that is
+left can reach the k nearest. The neighbours vote with weights that grow with
+their cosine, on each term that they share with the text; the terms on which
+they agree most for label 1 are the evidence, and their mean vote is calibrated
+by isotonic regression on the examples' own leave-one-out votes.
 """
 
 from __future__ import annotations
@@ -23,93 +23,130 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, held_out, materialize
 
-#: Labelled examples of each class at most (a hash of the id picks them), and terms of the index at most.
-EXAMPLES, TERMS = 2000, 4096
-#: Chi-squared (one degree of freedom) and examples that a term needs.
-CHI2, LEAST = 20.0, 4
-NEIGHBOURS, BLOCK = 10, 64
+#: Labelled examples of each class at most (a hash of the id picks them).
+EXAMPLES = 2000
+#: Examples that a term needs, and the share of the corpus's documents from which on it weighs nothing.
+LEAST, STOP = 2, 0.5
+NEIGHBOURS, BLOCK, FULL = 100, 32, 16
+#: Votes of the prior that smooth a term's votes, and terms whose votes count.
+SMOOTH, EVIDENCE = 5.0, 3
+#: Neighbours that are returned by id.
+SHOWN = 10
+#: Texts whose scores are begun in one product.
+TOGETHER = 64
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def terms(text: str | None) -> Counter:
-    """Words of letters, digits and non-ASCII characters, A-Z lower-cased, with their counts."""
-    return Counter(w.decode("utf-8", "replace") for w in (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
+    """Words of letters, digits and non-ASCII characters, A-Z lower-cased, as bytes, with their counts."""
+    return Counter((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
 
 
-def mark(postings: dict[str, list[int]], labels: dict[int, int], least: int = LEAST) -> list[str]:
-    """The terms taken in turn, from ``postings`` (term to examples), until one marks too few new examples.
-
-    A term gains an example of label 1 that fewer than two taken terms have, and
-    loses one of label 0. It must gain at least ``least`` and one in a hundred of
-    label 1.
-    """
-    need = max(least, sum(labels.values()) / 100)
-    cover: Counter = Counter()
-    taken: list[str] = []
-    left = dict(postings)
-
-    def gain(t: str) -> int:
-        return sum((cover[i] < 2) if labels[i] else -1 for i in left[t])
-
-    while left:
-        left = {t: p for t, p in left.items() if gain(t) >= need}
-        if left:
-            best = min(left, key=lambda t: (-gain(t), t))
-            taken.append(best)
-            cover.update(left.pop(best))
-    return sorted(taken)
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges (start, size), one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 class Index:
-    """Block-max inverted index of unit vectors. Rows keep the order given; blocks are runs of rows."""
+    """Block-max inverted index of unit vectors. Rows keep the order given; blocks are runs of rows.
+
+    Postings are sorted by term and row, so those of a term in a block are one
+    run; each run has its block, its place and its greatest weight. Terms of at
+    least one row in ``FULL`` have a full row of weights instead: their part of the
+    scores is one product, known for all rows before the blocks are bounded.
+    """
 
     def __init__(self, vectors: list[dict[int, float]], block: int = BLOCK):
         self.n, self.block = len(vectors), block
-        self.blocks = -(-self.n // block)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for row, v in enumerate(vectors):
-            for t, w in v.items():
-                lists.setdefault(t, []).append((row, w))
-        self.postings = {t: (np.array([r for r, _ in p]), np.array([w for _, w in p])) for t, p in lists.items()}
-        self.bounds = {}
-        for t, (rows, weights) in self.postings.items():
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, rows // block, weights)
-            at = np.nonzero(most)[0]
-            self.bounds[t] = at, most[at]
-
-    def _score(self, query: dict[int, float], chosen: np.ndarray, into: np.ndarray) -> None:
-        for t, q in query.items():
-            if t in self.postings:
-                rows, weights = self.postings[t]
-                use = chosen[rows // self.block]
-                into[rows[use]] += q * weights[use]
+        self.blocks = max(1, -(-self.n // block))
+        n_terms = max((max(v, default=-1) for v in vectors), default=-1) + 1
+        term = np.array([t for v in vectors for t in v], np.int64)
+        row = np.repeat(np.arange(self.n), [len(v) for v in vectors])
+        weight = np.array([w for v in vectors for w in v.values()])
+        often = np.bincount(term, minlength=n_terms) * FULL >= max(1, self.n)
+        self.full_of = np.where(often, np.cumsum(often) - 1, -1)
+        self.full = np.zeros((int(often.sum()), self.n))
+        rare = ~often[term]
+        self.full[self.full_of[term[~rare]], row[~rare]] = weight[~rare]
+        term, row, weight = term[rare], row[rare], weight[rare]
+        order = np.lexsort((row, term))
+        self.row, self.weight = row[order], weight[order]
+        key = term[order] * self.blocks + self.row // block
+        self.start = np.nonzero(np.diff(key, prepend=-1))[0]  # of the runs
+        self.size = np.diff(self.start, append=len(key))
+        self.top = np.maximum.reduceat(self.weight, self.start) if len(key) else np.zeros(0)
+        self.of = key[self.start] % self.blocks
+        self.first = np.searchsorted(key[self.start], np.arange(n_terms + 1) * self.blocks)  # of a term's runs
+        self.edges = np.arange(0, self.n, block)
+
+    def begun(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """(queries x rows): the scores' part of the terms with full rows, for several queries (terms, weights) together."""
+        dense = np.zeros((len(queries), len(self.full)))
+        for i, (ids, weights) in enumerate(queries):
+            known = ids < len(self.full_of)
+            full = self.full_of[ids[known]]
+            dense[i, full[full >= 0]] = weights[known][full >= 0]
+        return dense @ self.full
+
+    def near(self, ids: np.ndarray, weights: np.ndarray, k: int, without: int = -1, begun: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list]:
+        """(rows, cosines) of the k greatest positive cosines, by descending cosine and then row; and what was read, for ``shared``."""
+        at = np.nonzero(ids < len(self.full_of))[0]
+        if not len(at) or not self.n:
+            return np.zeros(0, np.int64), np.zeros(0), []
+        scores = self.begun([(ids, weights)])[0] if begun is None else begun
+        full = self.full_of[ids[at]]
+        often = at[full >= 0], full[full >= 0]
+        at = at[full < 0]
+        sizes = self.first[ids[at] + 1] - self.first[ids[at]]
+        runs, by = _ranges(self.first[ids[at]], sizes), np.repeat(at, sizes)
+        block = self.of[runs]
+        bound = np.bincount(block, weights[by] * self.top[runs], self.blocks) + np.maximum.reduceat(scores, self.edges)
+        done = np.zeros(self.n, bool)
+        read = [often]
+
+        def score(chosen: np.ndarray) -> None:
+            mine = chosen[block]
+            n = self.size[runs[mine]]
+            post, of = _ranges(self.start[runs[mine]], n), np.repeat(by[mine], n)
+            row = self.row[post]
+            np.add(scores, np.bincount(row, weights[of] * self.weight[post], self.n), out=scores)
+            read.append((of, row))
+            done[np.repeat(chosen, self.block)[: self.n]] = True
+            if without >= 0:
+                scores[without] = 0.0
 
-    def search(self, query: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[int, float]]:
-        """The k rows of the greatest positive cosine, (row, cosine), by descending cosine and then row; exact."""
-        if not query or not self.n:
-            return []
-        bound = np.zeros(self.blocks)
-        for t, q in query.items():
-            if t in self.bounds:
-                at, most = self.bounds[t]
-                bound[at] += q * most
-        scores = np.zeros(self.n)
         first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bound, kind="stable")[: max(1, 2 * k // self.block + 1)]] = True
-        self._score(query, first, scores)
-        if without >= 0:
-            scores[without] = 0.0
-        kth = np.partition(scores, -k)[-k] if self.n >= k else 0.0
+        first[np.argsort(-bound, kind="stable")[: 2 * k // self.block + 1]] = True
+        score(first)
+        known = scores[done]
+        kth = np.partition(known, -k)[-k] if len(known) >= k else 0.0
         rest = ~first & (bound > 0) & (bound >= kth - 1e-12)
         if rest.any():
-            self._score(query, rest, scores)
-            if without >= 0:
-                scores[without] = 0.0
-        near = np.nonzero(scores > 0)[0]
-        near = near[np.lexsort((near, -scores[near]))][:k]
-        return list(zip(near.tolist(), scores[near].tolist(), strict=True))
+            score(rest)
+        found = np.nonzero((scores > 0) & done)[0]
+        found = found[np.lexsort((found, -scores[found]))][:k]
+        return found, scores[found], read
+
+    def shared(self, rows: np.ndarray, read: list, strengths: list[np.ndarray], n: int) -> list[np.ndarray]:
+        """For each of a query's ``n`` terms the sum of each of ``strengths`` (by row, zero but for ``rows``) over the rows that have it."""
+        (often, full), *sparse = read
+        have = self.full[np.ix_(full, rows)] > 0
+        inside = np.zeros(self.n, bool)
+        inside[rows] = True
+        sparse = [(of[i], row[i]) for of, row in sparse for i in [inside[row]]]
+        made = []
+        for strength in strengths:
+            out = sum((np.bincount(of, strength[row], n) for of, row in sparse), np.zeros(n))
+            out[often] = have @ strength[rows]
+            made.append(out)
+        return made
+
+    def search(self, query: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[int, float]]:
+        """The k rows of the greatest positive cosine, (row, cosine), by descending cosine and then row; exact."""
+        rows, scores, _ = self.near(np.array(list(query), np.int64), np.array(list(query.values()), float), k, without)
+        return list(zip(rows.tolist(), scores.tolist(), strict=True))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,117 +165,138 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 class Model:
     """The index with its vocabulary, labels and calibration."""
 
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, dict[str, int]]], weights: dict[int, float]):
-        self.vocabulary, self.idf = vocabulary, idf
-        rows = [(i, y, self.vector(t)) for i, y, t in examples]
+    def __init__(self, vocabulary: dict[bytes, int], idf: np.ndarray, examples: list[tuple[int, int, dict[bytes, int]]], weights: dict[int, float]):
+        self.vocabulary, self.idf, self.names = vocabulary, idf, sorted(vocabulary, key=vocabulary.__getitem__)
+        rows = [(i, y, *self.vector(t)) for i, y, t in examples]
         # Rows that share their strongest term come together, which keeps block bounds tight.
-        rows.sort(key=lambda r: (max(r[2].items(), key=lambda x: x[1], default=(-1, 0.0))[0], r[0]))
+        rows.sort(key=lambda r: (int(r[2][r[3].argmax()]) if len(r[2]) else -1, r[0]))
         self.ids, self.labels = [r[0] for r in rows], np.array([r[1] for r in rows], float)
-        self.index = Index([r[2] for r in rows])
+        self.index = Index([dict(zip(r[2].tolist(), r[3].tolist(), strict=True)) for r in rows])
+        # A class of which a sample was taken counts for all of it; on average an example weighs one.
         w = np.array([weights[int(y)] for y in self.labels])
-        total = float(w.sum())
-        self.prior = float((w * self.labels).sum() / total) if total else 0.0
-        own = [self.index.search(r[2], without=i) for i, r in enumerate(rows)]
-        none = np.array([not x for x in own], bool)
-        smooth = lambda m: float(((w * self.labels)[m].sum() + self.prior) / (w[m].sum() + 1)) if len(w) else 0.0
-        self.blank = smooth(none)
-        votes = np.array([self.vote(x) for x in own])
-        at, value = isotonic(votes[~none], self.labels[~none], w[~none]) if (~none).any() else (np.zeros(0), np.zeros(0))
-        self.at, self.value = at, value
-
-    def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        """Unit TF-IDF vector over the vocabulary; 1 + ln(count) per term."""
-        v = {self.vocabulary[t]: (1 + np.log(n)) * self.idf[self.vocabulary[t]] for t, n in counts.items() if t in self.vocabulary}
-        norm = float(np.sqrt(sum(x * x for x in v.values())))
-        return {t: x / norm for t, x in v.items()} if norm else {}
-
-    def vote(self, near: list[tuple[int, float]]) -> float:
-        """Share of the label 1 among neighbours, weighted by inverse distance."""
-        weight = np.array([1.0 / (1.05 - c) for _, c in near])
-        return float((weight * self.labels[[r for r, _ in near]]).sum() / weight.sum()) if near else 0.0
-
-    def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
-        """(calibrated score, ids of the nearest examples, the terms that count)."""
-        counts = terms(text)
-        v = self.vector(counts)
-        near = self.index.search(v)
-        if not near:
+        self.weight = w / w.mean() if len(w) else w
+        self.prior = float((self.weight * self.labels).mean()) if len(w) else 0.0
+        own = []
+        for at in range(0, len(rows), TOGETHER):
+            some = [r[2:] for r in rows[at : at + TOGETHER]]
+            own += [self.vote(*v, at + i, b)[0] for i, (v, b) in enumerate(zip(some, self.index.begun(some), strict=True))]
+        none = np.array([v is None for v in own], bool)
+        self.blank = (float((self.weight * self.labels)[none].sum()) + self.prior) / (float(self.weight[none].sum()) + 1) if len(w) else 0.0
+        votes = np.array([v for v in own if v is not None])
+        self.at, self.value = isotonic(votes, self.labels[~none], self.weight[~none]) if len(votes) else (np.zeros(0), np.zeros(0))
+
+    def vector(self, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of the unit TF-IDF vector over the vocabulary; (1 + ln(count)) x IDF per term."""
+        get = self.vocabulary.get
+        known = [(i, n) for t, n in counts.items() if (i := get(t)) is not None]
+        ids = np.array([t for t, _ in known], np.int64)
+        v = (1 + np.log([n for _, n in known])) * self.idf[ids] if known else np.zeros(0)
+        ids, v = ids[v > 0], v[v > 0]
+        return ids, v / np.sqrt((v * v).sum()) if len(v) else v
+
+    def vote(self, ids: np.ndarray, weights: np.ndarray, without: int = -1, begun: np.ndarray | None = None) -> tuple[float | None, np.ndarray, np.ndarray]:
+        """(mean vote on the evidence, None without neighbours; the neighbours' rows; places in ``ids`` by falling vote).
+
+        The vote on a term is the share of label 1 among the neighbours that have
+        it, each weighted by its cosine, and smoothed by the prior.
+        """
+        rows, cosines, read = self.index.near(ids, weights, NEIGHBOURS, without, begun)
+        if not len(rows):
+            return None, rows, rows
+        strength = np.zeros(self.index.n)
+        strength[rows] = self.weight[rows] * cosines / cosines.mean()
+        n, a = self.index.shared(rows, read, [strength, strength * self.labels], len(ids))
+        votes = (a + SMOOTH * self.prior) / (n + SMOOTH)
+        order = np.lexsort((ids, -votes))
+        best = votes[order[:EVIDENCE]]
+        return float(np.append(best, [self.prior] * (EVIDENCE - len(best))).mean()), rows, order
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int], list[str]]]:
+        """(calibrated score, ids of the nearest examples, the terms that count) of each text."""
+        out = []
+        for at in range(0, len(texts), TOGETHER):
+            vectors = [self.vector(terms(t)) for t in texts[at : at + TOGETHER]]
+            out += [self._score(ids, weights, begun) for (ids, weights), begun in zip(vectors, self.index.begun(vectors), strict=True)]
+        return out
+
+    def _score(self, ids: np.ndarray, weights: np.ndarray, begun: np.ndarray) -> tuple[float, list[int], list[str]]:
+        vote, rows, order = self.vote(ids, weights, begun=begun)
+        if vote is None:
             return self.blank, [], []
-        vote = self.vote(near)
         score = float(np.interp(vote, self.at, self.value)) if len(self.at) else self.prior
         # Ties in the calibrated value keep the order of the votes.
         score = min(1.0, max(0.0, 0.999 * score + 0.001 * vote))
-        shown = sorted((t for t in counts if t in self.vocabulary), key=lambda t: (-v[self.vocabulary[t]], t))[:5]
-        return score, [self.ids[r] for r, _ in near], shown
+        shown = [self.names[int(ids[i])].decode("utf-8", "replace") for i in order[:EVIDENCE]]
+        return score, [self.ids[r] for r in rows[:SHOWN]], shown
 
 
-def _frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
+def _frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
     """In how many documents of the whole corpus each term of the vocabulary stands."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, found = shared.value, Counter()
+        words = shared.value
+        n = np.zeros(len(words), np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found.update(words.keys() & terms(text).keys())
-        yield pa.RecordBatch.from_pydict({"term": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+                found = [words[t] for t in terms(text) if t in words]
+                n[found] += 1
+        at = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_pydict({"term": pa.array(at, pa.int64()), "n": pa.array(n[at], pa.int64())})
 
+    got = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(vocabulary))
-    for r in docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[vocabulary[r["term"]]] = r["n"]
+    df[got["term"].to_numpy()] = got["n"].to_numpy()
     return df
 
 
-def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary_size: int = TERMS) -> Model:
-    """Fit on the labelled rows that are not held out: at most ``examples`` of each class.
+def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
+    """Fit on the labelled rows that are not held out: at most ``examples`` distinct texts of each class.
 
     ``labels`` has doc_id and toxic (0 or 1, null for unknown; the greatest of
-    repeated rows counts). Texts of repeated ids are examples each.
+    repeated rows counts). A text that stands under several ids, or several times
+    under one, is one example, of the label of most; of different texts under one id each is an
+    example. ``examples`` bounds what the driver collects: that many texts of a
+    class, as terms with counts.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = materialize(known)
-    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for y in (0, 1)]
     some = picked[0].unionByName(picked[1])  # 2 x examples narrow rows at most, so it is broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text")
+    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    # Which class each distinct text is of; a class that yields more texts than it may have ids has them cut by hash.
+    texts = joined.groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").cast("long").alias("doc_id"), F.round(F.avg("toxic")).cast("int").alias("toxic"), F.min("text").alias("text"))
+    texts = materialize(texts)
+    rows = texts.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "h").limit(examples).unionByName(texts.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "h").limit(examples))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ys, texts = (batch.column(i).to_pylist() for i in range(3))
-            for i, y, text in zip(ids, ys, texts, strict=True):
+            ids, ys, found = (batch.column(i).to_pylist() for i in range(3))
+            for i, y, text in zip(ids, ys, found, strict=True):
                 got = terms(text)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i] * len(got), pa.int64()), "toxic": pa.array([y] * len(got), pa.int32()), "term": pa.array(list(got), pa.string()), "n": pa.array(list(got.values()), pa.int64())})
-
-    held = materialize(rows.mapInArrow(run, "doc_id long, toxic int, term string, n long"))
-    ids = materialize(rows.select("doc_id", "toxic"))
-    total = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
-    pos, neg = total.get(1, 0), total.get(0, 0)
-    a, b = F.col("a"), F.col("n") - F.col("a")
-    chi2 = (pos + neg) * F.pow(a * (neg - b) - b * (pos - a), 2) / (F.lit(float(max(pos, 1) * max(neg, 1))) * F.col("n") * F.greatest(F.lit(pos + neg) - F.col("n"), F.lit(1)))
-    # Terms that more than half of all examples have say nothing by standing in a text.
-    ranked = held.groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST).where(F.col("n") <= 0.5 * (pos + neg))
-    ranked = ranked.withColumn("chi2", chi2).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "term").limit(vocabulary_size)
-    use = held.join(F.broadcast(materialize(ranked.select("term"))), "term")  # vocabulary_size short rows at most
-    postings: dict[str, list[int]] = {}
-    by: dict[int, dict[str, int]] = {}
-    for r in use.select("doc_id", "term", "n").toLocalIterator():
-        postings.setdefault(r["term"], []).append(r["doc_id"])
-        by.setdefault(r["doc_id"], {})[r["term"]] = r["n"]
-    vocabulary = {w: i for i, w in enumerate(mark(postings, {r["doc_id"]: r["toxic"] for r in ids.collect()}))}
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i]), "toxic": pa.array([y], pa.int32()), "terms": pa.array([list(got)], pa.list_(pa.binary())), "counts": pa.array([list(got.values())], pa.list_(pa.int64()))})
+
+    made = rows.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<binary>, counts array<long>").toArrow().to_pylist()
+    kept = [(r["doc_id"], r["toxic"], dict(zip(r["terms"], r["counts"], strict=True))) for r in made]
+    kept.sort(key=lambda r: (r[0], sorted(r[2].items())))
+    have: Counter = Counter()
+    for _, _, t in kept:
+        have.update(t.keys())
+    vocabulary = {t: i for i, t in enumerate(sorted(t for t, n in have.items() if n >= LEAST))}
     idf = np.zeros(0)
     if vocabulary:
-        df = _frequencies(docs, vocabulary)
-        idf = np.log(1 + (docs.count() - df + 0.5) / (df + 0.5))
-    made = [(r["doc_id"], r["toxic"], by.get(r["doc_id"], {})) for r in ids.orderBy("doc_id").collect()]
-    weights = {y: sizes.get(y, 0) / max(1, total.get(y, 0)) for y in (0, 1)}
-    return Model(vocabulary, idf, made, weights)
+        df, n = _frequencies(docs, vocabulary), docs.count()
+        idf = np.where(df > max(LEAST, STOP * n), 0.0, np.log(1 + (n - df + 0.5) / (df + 0.5)))
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    weights = {y: sizes.get(y, 0) / max(1, min(examples, sizes.get(y, 0))) for y in (0, 1)}
+    return Model(vocabulary, idf, kept, weights)
 
 
 def classify(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """(doc_id, held_out, score, predicted, nearest, evidence) for every row of ``docs``, from its text alone.
 
     ``nearest`` holds the doc_ids of the nearest labelled examples, ``evidence``
-    the terms that weigh most. Texts without a known term (empty and null ones
+    the terms on which the neighbours' votes are highest. Of examples at equal cosine the first in the index is nearer. Texts without a known term (empty and null ones
     too) get the share of label 1 among such examples. Without labelled rows
     all scores are 0. Repeated rows each give a row; a row with a null id is held
     out; other columns are not read.
@@ -247,7 +305,7 @@ def classify(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Da
 
     def fn(texts: list) -> list:
         m = shared.value
-        made = [m.score(t) for t in texts]
+        made = m.scores(texts)
         return [[s for s, _, _ in made], [int(s >= 0.5) for s, _, _ in made], [n for _, n, _ in made], [e for _, _, e in made]]
 
     fields = [("score", T.DoubleType()), ("predicted", T.IntegerType()), ("nearest", T.ArrayType(T.LongType())), ("evidence", T.ArrayType(T.StringType()))]

@@ -107,6 +107,56 @@ def test_toxicity_query(spark):
     assert seen[1, 1] >= 0.85 * (seen[1, 1] + seen[1, 0]) and seen[0, 1] <= 0.02 * (seen[0, 0] + seen[0, 1])
 
 
+def plain_terms(t):
+    return collections.Counter(re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")))
+
+
+def test_toxicity_neighbours_against_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    counts = {i: plain_terms(t) for i, t in docs.items()}
+    first = {}
+    for i in sorted(docs):
+        if i in labels and not is_held_out(i):
+            first.setdefault(docs[i], i)
+    have, df = collections.Counter(), collections.Counter()
+    for i in first.values():
+        have.update(counts[i].keys())
+    for c in counts.values():
+        df.update(c.keys())
+    n = len(docs)
+    idf = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t, k in have.items() if k >= toxicity.LEAST and df[t] <= max(toxicity.LEAST, toxicity.STOP * n)}
+
+    def unit(c):
+        v = {t: (1 + np.log(k)) * idf[t] for t, k in c.items() if t in idf}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / norm for t, x in v.items()}
+
+    examples = {i: unit(counts[i]) for i in first.values()}
+    got = e.queries()["op7_toxicity_neighbours"](spark, SF).collect()
+    assert len(got) == n and sum(bool(r.nearest) for r in got) > 0.9 * n
+    for r in got:
+        q = unit(counts[r.doc_id])
+        cos = {i: sum(w * v.get(t, 0.0) for t, w in q.items()) for i, v in examples.items()}
+        want = sorted((c for c in cos.values() if c > 1e-12), reverse=True)[: toxicity.SHOWN]
+        assert np.allclose([cos[i] for i in r.nearest], want)
+        assert set(r.evidence) <= {t for t in counts[r.doc_id]}
+
+
+def test_toxicity_examples_are_distinct_texts(spark):
+    rows = [(1, "you idiot fool"), (1, "kind words here"), (1, "you idiot fool"), (2, "you idiot fool"), (3, "kind words there"), (4, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 3)) for i in range(1, 6)], "doc_id long, toxic int")
+    old = toxicity.held_out
+    try:
+        toxicity.held_out = lambda c: c.isNull()
+        m = toxicity.train(docs, labels)
+    finally:
+        toxicity.held_out = old
+    assert sorted(zip(m.ids, m.labels.tolist(), strict=True)) == [(1, 1.0), (1, 1.0), (3, 0.0), (4, 0.0)]
+    assert m.index.n == 4 and set(m.names) == {b"kind", b"words"}
+
+
 def test_toxicity_edges(spark):
     rows = [(i, f"you idiot fool {i} some other words", 0) for i in range(40)] + [(i, f"kind words {i} some other words", 0) for i in range(40, 120)] + [(200, None, 0), (201, "", 0), (None, "you idiot fool", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score int")

@@ -8,15 +8,15 @@
    segment is indexed once per bit position with that bit deleted: 64 keys a
    fingerprint in all. Equal keys are joined and the distance is verified in
    the join condition. A pair is emitted at its first common key only, so once.
-4. A segment value that very many distinct fingerprints share (a dense group of
-   near copies) would be compared pairwise. Its members go another, exact way:
-   fingerprints within ``max_bits`` of each other share a value at
-   ``max_bits / 2`` flips or fewer from both, and all that share such a value
-   are linked, so each links to the least of them: linear in the members.
-5. Where there are so many fingerprints that a segment's 20 bits no longer part
+4. Where there are so many fingerprints that a segment's 20 bits no longer part
    them, each key is refined: the other bits, cut into ``max_bits + 1`` blocks,
    agree in some block exactly, which adds 8 bits to the key for 5 times the keys.
    The links are the same.
+5. What still shares a segment (and block) with very many is a dense group of
+   near copies, which would be compared pairwise. Its members go another, exact way:
+   fingerprints within ``max_bits`` of each other share a value at
+   ``max_bits / 2`` flips or fewer from both, and all that share such a value
+   are linked, so each links to the least of them: linear in the members.
 6. Connected components by alternating large-star and small-star rounds.
 """
 
@@ -33,10 +33,12 @@ from pyspark.sql import types as T
 from .common import TMP, arrow_map, materialize
 
 BITS = 64
-#: Distinct fingerprints with one exact segment value, from which they count as dense.
-DENSE = 512
-#: Distinct fingerprints from which keys are refined: there the comparisons saved outweigh the keys added.
-REFINE = 1 << 30
+#: Distinct fingerprints with one exact segment value (and block, where keys are refined), from which they count as dense.
+DENSE = 128
+#: Distinct fingerprints from which keys are refined: there a segment value has 32 by chance, and far less than DENSE with a block.
+REFINE = 1 << 26
+#: Parts in which the members of a component look up its id.
+PARTS = 16
 #: Shingles hashed into bit counts at a time.
 STEP = 1 << 15
 
@@ -149,6 +151,16 @@ def _dense_links(hot: DataFrame, max_bits: int) -> DataFrame:
     return pairs.select("a", F.col("fp").alias("b")).distinct()
 
 
+def _groups(nodes: DataFrame, cut: list[tuple[int, int]], max_bits: int, refine: bool) -> DataFrame:
+    """(fp, s, j, v): for each segment s (and block j of the other bits) the value v that the fingerprint has there."""
+    each = []
+    for i, (low, size) in enumerate(cut):
+        value = _part(F.col("fp"), low, size)
+        blocks = [F.xxhash64(value, F.col("fp").bitwiseAND(_long(m))) for m in _blocks(low, size, max_bits)] if refine else [value]
+        each += [F.struct(F.lit(i).alias("s"), F.lit(j).alias("j"), v.alias("v")) for j, v in enumerate(blocks)]
+    return nodes.select("fp", F.explode(F.array(*each)).alias("x")).select("fp", "x.*")
+
+
 def links(nodes: DataFrame, max_bits: int = 4, dense: int = DENSE, refine: bool | None = None) -> DataFrame:
     """(a, b) with a < b among the distinct ``nodes.fp``: enough of the pairs at ``max_bits`` or fewer to connect all such pairs."""
     if max_bits % 2:
@@ -156,19 +168,26 @@ def links(nodes: DataFrame, max_bits: int = 4, dense: int = DENSE, refine: bool
     if refine is None:
         refine = nodes.count() > REFINE
     cut = segments(max_bits)
-    keys = _keys(nodes, cut)
-    counts = nodes.select(F.explode(F.array(*[F.struct(F.lit(i).alias("s"), _part(F.col("fp"), *c).alias("v")) for i, c in enumerate(cut)])).alias("x"))
-    hot = materialize(counts.groupBy("x.s", "x.v").count().where(F.col("count") > dense).select("s", "v"))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        keys = _keys(df, cut)
+        return _refined(keys, cut, max_bits) if refine else keys
+
+    keys = keyed(nodes)
+    groups = _groups(nodes, cut, max_bits, refine).groupBy("s", "j", "v").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"))
+    hot = materialize(groups.where(F.col("n") > dense).select("s", "j", "fp"))
     found = None
     if hot.take(1):
-        per = F.lit(None)
+        # A group's keys are those of any of its members, for this segment and block.
+        bit = F.col("key").bitwiseAND(_long(63)).cast("int")
+        block = F.shiftrightunsigned("key", 6).bitwiseAND(_long(15)).cast("int") if refine else F.lit(0)
+        of = F.lit(len(cut))
         for i, (low, size) in enumerate(cut):
-            per = F.when(F.col("s") == i, F.array(*[_variant(F.col("v"), low, b) for b in range(low, low + size)])).otherwise(per)
-        hot_keys = hot.select(F.explode(per).alias("key")).distinct()
+            of = F.when(bit.between(low, low + size - 1), i).otherwise(of)
+        own = keyed(hot.select("fp").distinct()).select("fp", "key", of.alias("s"), block.alias("j"))
+        hot_keys = own.join(hot, ["fp", "s", "j"], "left_semi").select("key").distinct()
         found = _dense_links(keys.join(hot_keys, "key", "left_semi").select("fp").distinct(), max_bits)
         keys = keys.join(hot_keys, "key", "left_anti")
-    if refine:
-        keys = _refined(keys, cut, max_bits)
     a, b = keys.withColumnsRenamed({"fp": "a"}), keys.withColumnsRenamed({"fp": "b"})
     x = F.col("a").bitwiseXOR(F.col("b"))
     ok = (F.col("a") < F.col("b")) & (F.bit_count(x) <= max_bits)
@@ -220,24 +239,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4, dense: i
     fps = materialize(fingerprints(docs, words))
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     comp = components(links(nodes.select("fp"), max_bits, dense))
-    roots = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    ids = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    # Only fingerprints that are linked to others differ from their own least id.
-    named = roots.join(ids, "root").select("fp", "component_id")
-    out = fps.join(named, "fp")
+    linked = materialize(nodes.join(comp, nodes.fp == comp.node).select("fp", "rep", "root"))
+    # A component may hold a third of all rows, so its members look its id up in parts.
+    part = TMP + "part"
+    ids = linked.groupBy("root").agg(F.min("rep").alias("component_id")).withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    named = linked.withColumn(part, F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int")).join(ids, ["root", part]).select("fp", "component_id")
+    every = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    out = fps.join(every, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one in each near-duplicate group stays: the least doc_id.
-
-    Of repeated rows with that id and the same text one stays. Rows without any
-    word are one group, as they have one fingerprint. Rows with a null doc_id go
-    if their group has a row with an id.
-    """
-    row = TMP + "row"
-    near = near_duplicates(docs, words, max_bits)
-    keep = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(TMP + "id")).distinct()
-    packed = docs.select(F.col("doc_id").alias(TMP + "id"), F.struct("*").alias(row))
-    kept = packed.join(keep, packed[TMP + "id"].eqNullSafe(keep[TMP + "id"]), "left_semi")
-    return kept.select(row + ".*").dropDuplicates(["doc_id", "text"])

@@ -2,8 +2,8 @@
 
 Training counts n-grams of orders 1 to 3 of the lower-cased text, hashed into
 2^16 buckets, per language. The smoothed log-probability matrix (buckets x
-languages, 256 KB a language) is broadcast and every text is scored by summing
-its rows in numpy. Texts are read whole, however long.
+languages, 256 KB a language) is broadcast and texts are scored a batch at a time
+as a sparse matrix of counts times it, in numpy. Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ ORDERS = 3
 TRAIN_DOCS = 4000
 #: The matrix is broadcast; this many languages make 128 MB.
 MAX_LANGUAGES = 512
+#: Log-probabilities that are gathered at a time (a text has at most as many buckets as there are).
+CELLS = 4_000_000
 UNKNOWN = "und"
 #: The start of every text counts as a boundary character, the same for all.
 _EDGE = "\n"
@@ -64,14 +66,45 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, posterior probability); (und, 0) for null, for a text without letters and for an empty model."""
-        if not text or not self.languages or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        total = self.prior.copy()
-        for b in buckets(text):
-            total += self.logp[b].sum(axis=0, dtype=np.float64)
-        p = np.exp(total - total.max())
-        best = int(p.argmax())
-        return self.languages[best], float(p[best] / p.sum())
+        return self.predict_batch([text])[0]
+
+    def predict_batch(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """``predict`` of each text: a sparse (texts x buckets) matrix of counts times the log-probabilities, a bounded part at a time."""
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        if not self.languages:
+            return out
+        most = max(1, CELLS // len(self.languages))
+        rows: list[int] = []
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def flush() -> None:
+            nonlocal held
+            at = np.concatenate([b for b, _ in parts])
+            n = np.concatenate([c for _, c in parts])
+            starts = np.cumsum([0] + [len(b) for b, _ in parts[:-1]])
+            total = self.prior + np.add.reduceat(self.logp[at] * n[:, None], starts, axis=0)
+            p = np.exp(total - total.max(axis=1, keepdims=True))
+            best = p.argmax(axis=1)
+            for i, k, share in zip(rows, best.tolist(), (p.max(axis=1) / p.sum(axis=1)).tolist(), strict=True):
+                out[i] = self.languages[k], share
+            rows.clear()
+            parts.clear()
+            held = 0
+
+        for i, text in enumerate(texts):
+            if not text or not any(map(str.isalpha, text)):
+                continue
+            counts = sum(np.bincount(b, minlength=1 << BUCKET_BITS) for b in buckets(text))
+            at = np.nonzero(counts)[0]
+            if rows and held + len(at) > most:
+                flush()
+            rows.append(i)
+            parts.append((at, counts[at].astype(np.float64)))
+            held += len(at)
+        if rows:
+            flush()
+        return out
 
 
 def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, smoothing: float = 0.2) -> Model:
@@ -111,8 +144,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def fn(texts: list) -> list:
-        m = shared.value
-        return list(map(list, zip(*map(m.predict, texts), strict=True)))
+        return list(map(list, zip(*shared.value.predict_batch(texts), strict=True)))
 
     return arrow_map(docs.select("doc_id", "text"), [("lang_pred", T.StringType()), ("score", T.DoubleType())], fn, keep=["doc_id"])
 
@@ -142,7 +174,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5, train_docs: int = T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = map(m.predict, batch.column(at).to_pylist())
+            found = m.predict_batch(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -83,7 +83,9 @@ FAMILIES = {
 PERMISSIVE = {"apache", "bsd", "bsl", "cc-by", "cc0", "isc", "mit", "unlicense", "public-domain"}
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_ITEM = re.compile(r"\s*([()]|[A-Za-z0-9.+:-]+)")
+_ITEM = re.compile(r"[^\S\n]*([()]|[A-Za-z0-9.+:-]+)")
+#: Public identifiers are capitalised, or have a version.
+_SHAPE = re.compile(r"[A-Z][A-Za-z0-9.-]*\+?|[A-Za-z][A-Za-z.-]*-[0-9][A-Za-z0-9.-]*\+?|[0-9][A-Za-z]+[A-Za-z0-9.-]*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -107,8 +109,8 @@ class Expression:
         return stack[0]
 
 
-def parse(text: str) -> Expression | None:
-    """The longest well-formed expression that ``text`` starts with, by shunting-yard; None if there is none.
+def parse(text: str, start: int = 0) -> Expression | None:
+    """The longest well-formed expression on a line that ``text`` has at ``start``, by shunting-yard; None if there is none.
 
     ``with`` binds tightest, then ``and``, then ``or``. Operators count in any case.
     Any word can be an identifier, so in running text the expression ends where
@@ -116,8 +118,10 @@ def parse(text: str) -> Expression | None:
     """
     output: list[str] = []
     operators: list[str] = []
-    want, at, best, after_with = True, 0, None, False
-    leaves: list[tuple[str, bool]] = []
+    want, after_with, closed, depth, at = True, False, False, 0, start
+    # Where the last well-formed beginning ended: how much of the output it has, and the operators that close it.
+    best: tuple[int, list[str]] | None = None
+    leaves: list[tuple[int, bool]] = []
 
     def pop_while(least: int) -> None:
         while operators and operators[-1] != "(" and _BINDS[operators[-1]] >= least:
@@ -129,13 +133,15 @@ def parse(text: str) -> Expression | None:
             if not want or after_with:
                 break
             operators.append("(")
+            depth += 1
         elif item == ")":
-            if want or "(" not in operators:
+            if want or not depth:
                 break
             pop_while(0)
             operators.pop()
+            depth -= 1
         elif low in _BINDS:
-            if want or (low == "with" and (not leaves or text[:at].rstrip().endswith(")"))):
+            if want or (low == "with" and (not leaves or closed)):
                 break
             pop_while(_BINDS[low])
             operators.append(low)
@@ -144,15 +150,20 @@ def parse(text: str) -> Expression | None:
             item = item.rstrip(".:") or item
             if not want:
                 break
+            leaves.append((len(output), after_with))
             output.append(item)
-            leaves.append((item, after_with))
             want, after_with = False, False
+        closed = item == ")"
         at = m.end()
-        if not want and "(" not in operators:
-            best = Expression([*output, *reversed(operators)], [x for x, e in leaves if not e], [x for x, e in leaves if e])
-        if not want and item.endswith("."):
+        if not want and not depth:
+            best = len(output), operators[::-1]  # three operators at most, as each binds tighter than the one below
+        if not want and m[1].endswith("."):
             break
-    return best
+    if best is None:
+        return None
+    n, close = best
+    used = [(output[i], e) for i, e in leaves if i < n]
+    return Expression([*output[:n], *close], [x for x, e in used if not e], [x for x, e in used if e])
 
 
 def family(identifier: str) -> str:
@@ -161,6 +172,11 @@ def family(identifier: str) -> str:
     return next((FAMILIES[k] for k in sorted(FAMILIES, key=len, reverse=True) if low == k or low.startswith((k + "-", k + "+"))), low)
 
 
+def known(identifier: str) -> bool:
+    """Whether the word after a tag is an identifier: of a known family, a reference of its own, or in shape (with a digit or a capital and no lower case before it)."""
+    return family(identifier) in FAMILIES.values() or identifier.lower().startswith(("licenseref-", "documentref-")) or bool(_SHAPE.fullmatch(identifier))
+
+
 @cache
 def _automata() -> tuple:
     phrases, tags = ahocorasick.Automaton(), ahocorasick.Automaton()
@@ -184,6 +200,7 @@ class Scan:
     expressions: list[Expression]
 
     def labels(self) -> list[str]:
+        """Base labels as they are; of other notices the longest where several start at one place, so cc-by-nc is not cc-by."""
         got = {x for _, x in self.base + self.notices}
         return sorted(got | {family(x).replace(",", " ") for e in self.expressions for x in e.licenses})
 
@@ -203,19 +220,23 @@ def scan(text: str | None) -> Scan:
     phrases, tags = _automata()
     # Latin-1 keeps one character a byte, and the phrases are ASCII.
     flat = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    hits = [(end - size, label, base) for end, (size, label, base) in phrases.iter(flat)]
+    hits = [(end - size, size, label, base) for end, (size, label, base) in phrases.iter(flat)]
     base: list[tuple[int, str]] = []
     notices: list[tuple[int, str]] = []
     if hits:
         blanks = np.cumsum(np.frombuffer(flat.encode("latin-1"), np.uint8) == 32)
-        for at, label, is_base in hits:
-            (base if is_base else notices).append((int(blanks[at]) - 1, label))
+        longest: dict[int, tuple[int, str]] = {}
+        for at, size, label, is_base in hits:
+            if is_base:
+                base.append((int(blanks[at]) - 1, label))
+            else:
+                longest[at] = max(longest.get(at, (0, "")), (size, label))
+        notices = [(int(blanks[at]) - 1, label) for at, (_, label) in longest.items()]
     found = []
     if b"license-" in (low := raw.lower()):
         low = low.decode("utf-8", "surrogatepass")
         for end, _ in tags.iter(low):
-            line = text[end + 1 :].split("\n", 1)[0]
-            if e := parse(line):
+            if (e := parse(text, end + 1)) and all(map(known, e.licenses)):
                 found.append(e)
     return Scan(len(words), sorted(base), sorted(notices), found)
 

@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -120,8 +122,14 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
     if b"\1" * HEX_LEAST in raw.translate(_HEX_BYTES):
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if b"\1" * LEAST in raw.translate(_TOKEN_BYTES):
-        found = list(CANDIDATE.finditer(text))
-        free = [m for m in found if not any(s < m.end() and m.start() < e for s, _, e in spans)]
+        spans.sort()
+        starts = [s for s, _, _ in spans]
+        ends = list(accumulate((e for _, _, e in spans), max))  # the furthest end so far
+        free = []
+        for m in CANDIDATE.finditer(text):
+            i = bisect_left(starts, m.end())  # spans before i begin before the candidate ends
+            if not i or ends[i - 1] <= m.start():
+                free.append(m)
         spans += [(m.start(), 3, m.end()) for m, yes in zip(free, discoveries([m[0] for m in free]), strict=True) if yes]
     return sorted(spans)
 

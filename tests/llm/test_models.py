@@ -48,6 +48,40 @@ def test_language_chunks_count_every_ngram():
     assert (whole == cut).all() and len(whole) == 3 * (len(text) + 1) - 3
 
 
+def test_language_scores_against_plain_bayes(spark):
+    rng = np.random.default_rng(2)
+    words = {"en": ["the", "and", "cat", "dog"], "de": ["der", "und", "katze", "hund"], "fr": ["le", "et", "chat", "chien"]}
+    rows = [(i, " ".join(rng.choice(words[k], 6)), k) for i, k in enumerate(["en", "de", "fr"] * 20)]
+    m = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), smoothing=0.5)
+    size, counts = 1 << langid.BUCKET_BITS, {k: collections.Counter() for k in words}
+
+    def grams(t):
+        t, found = "\n" + t.lower(), []
+        for order in (1, 2, 3):
+            for i in range(len(t) - order + 1):
+                h = 0
+                for k, c in enumerate(t[i : i + order], 1):
+                    h = (h * 0x01000193 + ord(c) + k) % 2**32
+                found.append(h * 0x9E3779B1 % 2**32 >> 32 - langid.BUCKET_BITS)
+        return found
+
+    for _, t, k in rows:
+        counts[k].update(grams(t))
+    total = {k: sum(c.values()) + 0.5 * size for k, c in counts.items()}
+    texts = [" ".join(rng.choice(sum(words.values(), []), n)) for n in (1, 2, 3, 5, 9) for _ in range(10)]
+    old = langid.CELLS
+    try:
+        langid.CELLS = 100  # several parts
+        got = m.predict_batch([None, *texts, "1 2"])
+    finally:
+        langid.CELLS = old
+    assert got[0] == got[-1] == ("und", 0.0)
+    for t, (lang, score) in zip(texts, got[1:-1], strict=True):
+        logp = {k: np.log(1 / 3) + sum(np.log((counts[k][b] + 0.5) / total[k]) for b in grams(t)) for k in words}
+        best = max(logp, key=logp.get)
+        assert lang == best and abs(score - 1 / sum(np.exp(v - logp[best]) for v in logp.values())) < 1e-3
+
+
 def plain_quality(t):
     w = [x for x in re.split("[\x20\x09-\x0d]+", t or "") if x]
     grams = list(zip(w, w[1:], w[2:], strict=False))

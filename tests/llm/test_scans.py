@@ -62,6 +62,26 @@ def test_expression_value_and_tags():
     assert s.labels() == ["bsd", "gpl", "mit"] and s.base == [] and s.score() > 0.9
 
 
+def test_expressions_are_linear():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        t = time.perf_counter()
+        x = L.parse("mit or " * n + "isc")
+        took.append(time.perf_counter() - t)
+        assert len(x.licenses) == n + 1 and x.postfix[-1] == "or"
+    assert took[1] < 12 * took[0] + 0.1
+
+
+def test_labels_of_the_longest_phrase_and_of_known_identifiers():
+    assert L.scan("under CC BY-NC 4.0 here").labels() == ["cc-by-nc"]
+    assert L.scan("under CC BY 4.0 and CC BY-NC-SA").labels() == ["cc-by", "cc-by-nc-sa"]
+    assert L.scan("License-Expression: see the file COPYING").labels() == []
+    assert L.scan("License-Expression: Zlib OR LicenseRef-mine").labels() == ["licenseref-mine", "zlib"]
+    assert L.scan("SPDX-License-Identifier:\nMIT").labels() == []
+
+
 def plain_secrets(text):
     text, spans = text or "", []
     for m in re.finditer(r"""(?a:(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", text):

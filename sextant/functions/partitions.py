@@ -11,7 +11,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder, from the session's ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-sextant-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-sextant-"))
     return sc.getCheckpointDir()
 
 

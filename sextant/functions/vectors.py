@@ -31,12 +31,15 @@ def normalize(v: Column) -> Column:
 
 
 def matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(rows x dimension doubles, which rows have a vector) of an Arrow list column; rows without get zeros."""
+    """(rows x dimension doubles, which rows have a vector) of an Arrow list column; rows without get zeros. Vectors of several lengths are an error."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     known = col.is_valid().to_numpy(zero_copy_only=False)
+    sizes = np.unique(col.value_lengths().drop_null().to_numpy(zero_copy_only=False))
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of {sizes[0]} and of {sizes[-1]} dimensions")
     flat = col.flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
-    dim = len(flat) // known.sum() if known.any() else 0
+    dim = int(sizes[0]) if len(sizes) else 0
     out = np.zeros((len(known), dim))
     if dim:
         out[known] = flat.reshape(-1, dim)
@@ -55,7 +58,11 @@ def scores(m: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
         return unit(m) @ unit(queries).T
     if metric == "dot":
         return m @ queries.T
-    return -((m[:, None, :] - queries[None, :, :]) ** 2).sum(axis=2)
+    out = np.empty((len(m), len(queries)))
+    for j, q in enumerate(queries):  # one at a time, so that memory is that of the rows
+        d = m - q
+        np.einsum("ij,ij->i", d, d, out=out[:, j])
+    return -out
 
 
 def score(vector: Column, query: list[float], metric: str) -> Column:

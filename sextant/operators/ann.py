@@ -14,9 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 from ..functions.filters import bind, compile_filter
+from ..functions.partitions import materialize
 from . import ranking as R
 from . import search as S
 
@@ -25,6 +29,8 @@ INT8_RESCORE, BINARY_RESCORE, OVERSCAN, PROBES = 4, 16, 4, 8
 ITERATIONS = 12
 #: Vectors that centroids are fitted on at most; every record is indexed.
 FIT_ROWS = 50_000
+#: Vectors that are held against all centroids at a time; records of a list that one task holds, about.
+FIT_BLOCK, PART = 2048, 20_000
 
 
 def add_int8(df: DataFrame, scale: float | None = None, metric: str = "cosine") -> tuple[DataFrame, float]:
@@ -98,7 +104,7 @@ def fit_ivf(df: DataFrame, metric: str = "cosine", lists: int | None = None, fit
     c = m[np.sort(np.unique(m, axis=0, return_index=True)[1])[: min(k, len(c))]].copy()
     last = None
     for _ in range(ITERATIONS):
-        at = V.scores(m, c, metric).argmax(axis=1)
+        at = np.concatenate([V.scores(m[i : i + FIT_BLOCK], c, metric).argmax(axis=1) for i in range(0, len(m), FIT_BLOCK)]) if len(m) else np.zeros(0, int)
         if last is not None and (at == last).all():
             break
         last = at
@@ -138,11 +144,109 @@ def search_hnsw(df: DataFrame, index: Ivf, query: list[float], opts: S.SearchOpt
     return search_ivf(df, index, query, opts, probes=max(PROBES, ef_search // 2))
 
 
+def _top(scored: DataFrame, k: int) -> DataFrame:
+    window = Window.partitionBy("query").orderBy(*R.order())
+    return scored.withColumn("rank", (F.row_number().over(window) - 1).cast("long")).where(F.col("rank") < k)
+
+
+def search_ivf_batch(indexed: DataFrame, index: Ivf, queries: DataFrame, k: int, probes: int = PROBES) -> DataFrame:
+    """(query, collection, id, score, rank): ``search_ivf`` for a table of queries (query, vector) of any size.
+
+    Queries are dealt to the lists they probe and meet each list's records
+    there; long lists are parted, so no list is one task's alone. Records that
+    no list holds yet are searched by all queries.
+    """
+    centroids, metric = index.centroids, index.metric
+
+    @F.arrow_udf("array<int>")
+    def nearest(col: pa.Array) -> pa.Array:
+        m, _ = V.matrix(col)
+        s = V.scores(m, centroids, metric)
+        return pa.array(list(np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32)), pa.list_(pa.int32()))
+
+    records = indexed.where("vector is not null").select("list_id", "collection", "id", "vector")
+    lists = materialize(records.where("list_id is not null").groupBy("list_id").agg((F.floor(F.count(F.lit(1)) / PART) + 1).cast("int").alias("parts")))
+    asked = materialize(queries.where("vector is not null").select(F.col("query").cast("string").alias("query"), "vector"))
+    left = records.join(lists, "list_id").withColumn("part", F.pmod(F.xxhash64("collection", "id"), F.col("parts")).cast("int"))
+    probed = asked.select("query", F.col("vector").alias("qv"), F.explode(nearest("vector")).alias("list_id")).join(lists, "list_id")
+    right = probed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    out = T.StructType([T.StructField("query", T.StringType()), T.StructField("collection", T.StringType()), T.StructField("id", T.StringType()), T.StructField("score", T.DoubleType())])
+
+    def meet(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not len(rows) or not len(wanted):
+            return to_arrow_schema(out).empty_table()
+        m, _ = V.matrix(rows["vector"])
+        got = []
+        for at in range(0, len(wanted), 256):
+            some = wanted.slice(at, 256)
+            s = V.scores(m, V.matrix(some["qv"])[0], metric)
+            order = np.where(np.isnan(s), -np.inf, s)
+            least = np.partition(order, -k, axis=0)[-k] if k < len(order) else np.full(len(some), -np.inf)
+            of, row = np.nonzero((order >= least).T)
+            got.append(pa.table({"query": some["query"].take(pa.array(of)), "collection": rows["collection"].take(pa.array(row)), "id": rows["id"].take(pa.array(row)), "score": s[row, of]}).cast(to_arrow_schema(out)))
+        return pa.concat_tables(got)
+
+    keys = ["list_id", "part"]
+    found = left.select(*keys, "collection", "id", "vector").groupBy(*keys).cogroup(right.select(*keys, "query", "qv").groupBy(*keys)).applyInArrow(meet, out)
+    loose = records.where("list_id is null")
+    if loose.take(1):
+        found = found.unionByName(S.top_k_blocks(loose, asked, k, metric).drop("rank"))
+    return _top(found, k)
+
+
+def search_codes_batch(df: DataFrame, queries: DataFrame, k: int, kind: str = "int8", rescore: int | None = None, metric: str = "cosine") -> DataFrame:
+    """(query, collection, id, score, rank): two passes for a table of queries (query, vector) of any size.
+
+    The first pass ranks by int8 codes or by sign bits (``kind`` "binary", whose
+    Hamming distance is a product of signs) and keeps ``rescore`` x k a query, the second scores those exactly.
+    """
+    depth = k * (rescore or (INT8_RESCORE if kind == "int8" else BINARY_RESCORE))
+    asked = materialize(queries.where("vector is not null").select(F.col("query").cast("string").alias("query"), "vector"))
+    if kind == "int8":
+        _, scale = add_int8(df, metric=metric)
+
+        def coded(c):
+            return V.int8_codes(c, scale, metric)
+    else:
+
+        def coded(c):
+            return F.transform(c, lambda x: F.when(x >= 0, 1).otherwise(-1).cast("tinyint"))
+
+    first = S.top_k_blocks(df.where("vector is not null").select("collection", "id", coded(F.col("vector")).alias("vector")), asked.select("query", coded(F.col("vector")).alias("vector")), depth, "dot" if kind == "binary" or metric == "cosine" else metric)
+    pairs = first.select("query", "collection", "id").join(df.select("collection", "id", "vector"), ["collection", "id"]).join(asked.withColumnRenamed("vector", "qv"), "query")
+
+    @F.arrow_udf("double")
+    def exact(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = V.matrix(a)[0], V.matrix(b)[0]
+        if metric == "cosine":
+            x, y = V.unit(x), V.unit(y)
+        return pa.array(-((x - y) ** 2).sum(axis=1) if metric == "euclidean" else (x * y).sum(axis=1))
+
+    return _top(pairs.select("query", "collection", "id", exact("vector", "qv").alias("score")), k)
+
+
 def recall(found: DataFrame, truth: DataFrame) -> float:
     """Share of the true hits that were found, over (query, collection, id)."""
+    got = recall_by_query(found, truth).agg(F.sum("found"), F.sum("n")).first()
+    return got[0] / got[1] if got[1] else 1.0
+
+
+def recall_by_query(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """(query, n, found): how many true hits each query has, and how many of them were found."""
     keys = ["query", "collection", "id"]
-    n = truth.count()
-    return truth.join(found.select(*keys), keys, "left_semi").count() / n if n else 1.0
+    both = truth.select(*keys).join(found.select(*keys).withColumn("hit", F.lit(1)), keys, "left")
+    return both.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("found"))
+
+
+def choose_probes(indexed: DataFrame, index: Ivf, k: int = 10, target: float = 0.95, samples: int = 64) -> int:
+    """The fewest probes, doubling, at which sampled stored vectors (a hash picks them) have a recall of ``target``."""
+    picked = indexed.where("vector is not null").orderBy(F.xxhash64("id", "collection"), "id").limit(samples)
+    queries = materialize(picked.select(F.concat_ws("/", "collection", "id").alias("query"), "vector"))
+    truth = materialize(S.top_k_blocks(indexed.drop("list_id"), queries, k, index.metric))
+    probes = 1
+    while probes < len(index.centroids) and recall(search_ivf_batch(indexed, index, queries, k, probes), truth) < target:
+        probes *= 2
+    return min(probes, len(index.centroids))
 
 
 def tune(df: DataFrame, metric: str = "cosine", samples: int = 20, top_k: int = 10, target: float = 0.95, probes: tuple[int, ...] = (1, 2, 4, 8, 16, 32)) -> list[dict]:

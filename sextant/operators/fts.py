@@ -154,8 +154,14 @@ def text_search(df: DataFrame, query: TextQuery, schema: list[FieldSchema], opts
     hits = bm25(index, schema, query)
     if not explain:
         hits = hits.drop("clauses")
-    kept = rows.where(compile_filter(opts.where, bind(df)))
-    return S.tail(kept.join(hits, ["collection", "id"]), opts)
+    # The page is cut from narrow rows; whole records are read back for what is left of them.
+    keys = ["collection", "id"]
+    where = compile_filter(opts.where, bind(df))
+    if opts.where is not None:
+        hits = hits.join(rows.where(where).select(*keys), keys, "left_semi")
+    if opts.rank_by is None and opts.min_score is None:
+        hits = hits.orderBy(*R.order()).limit(opts.depth)
+    return S.tail(rows.where(where).join(F.broadcast(hits) if opts.rank_by is None and opts.min_score is None else hits, keys), opts)
 
 
 def hybrid_search(df: DataFrame, vector: list[float], query: TextQuery, schema: list[FieldSchema], opts: S.SearchOptions = S.SearchOptions(), candidates: int = 100, weights: tuple[float, float] = (1.0, 1.0), k: float = 60.0, metric: str = "cosine", index: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.partitions import materialize
 from ..functions.filters import Predicate, bind, compile_filter, millis
 from .search import SearchOptions, project, scoped
 
@@ -96,10 +97,13 @@ def aggregate(df: DataFrame, where: Predicate | None = None, scope: list[str] |
     if group_by is None:
         return rows.agg(*totals)
     keyed = rows.withColumn("grp", group_key(df, group_by))
-    out = keyed.rollup("grp").agg(F.grouping("grp").alias("is_total"), *totals)
-    ranked = out.withColumn("rn", F.row_number().over(Window.partitionBy("is_total").orderBy(F.desc("n"), "grp")))
-    more = ranked.withColumn("groups_truncated", F.max(F.when(F.col("is_total") == 0, F.col("rn"))).over(Window.partitionBy(F.lit(0))) > GROUPS)
-    kept = more.where((F.col("is_total") == 1) | (F.col("rn") <= GROUPS))
+    out = materialize(keyed.rollup("grp").agg(F.grouping("grp").alias("is_total"), *totals))
+    # One group more than is kept shows whether there are more; only those go to one task.
+    top = out.where("is_total = 0").orderBy(F.desc("n"), "grp").limit(GROUPS + 1)
+    top = top.withColumn("rn", F.row_number().over(Window.partitionBy("is_total").orderBy(F.desc("n"), "grp")))
+    some = top.unionByName(out.where("is_total = 1").withColumn("rn", F.lit(0)))
+    more = some.withColumn("groups_truncated", F.max("rn").over(Window.partitionBy(F.lit(0))) > GROUPS)
+    kept = more.where(F.col("rn") <= GROUPS)
     present = F.when(F.col("is_total") == 0, F.col("grp") != MISSING)
     shown = F.when(F.col("grp") != MISSING, F.col("grp"))
     return kept.select(F.col("is_total").cast("boolean").alias("is_total"), shown.alias("grp"), present.alias("present"), "n", *[f"sum_{f}" for f in sums], F.coalesce("groups_truncated", F.lit(False)).alias("groups_truncated"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,12 @@ from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 from ..functions.filters import Predicate, bind, compile_filter
+from ..functions.partitions import materialize
 from . import ranking as R
 
 MAX_DEPTH, MAX_BATCH = 10_000, 16
+#: Query vectors that are searched in one pass, about.
+QUERY_BLOCK = 2048
 
 
 @dataclass(frozen=True)
@@ -123,19 +127,39 @@ def top_k_batch(df: DataFrame, queries: list[tuple[str, list[float]]], k: int, m
             if not known.any():
                 continue
             s = V.scores(rows, m, metric)
-            s[~known] = -np.inf
             order = np.where(np.isnan(s), -np.inf, s)
-            for j, name in enumerate(names):
-                least = np.partition(order[:, j], -k)[-k] if k < len(order) else -np.inf
-                at = np.nonzero((order[:, j] >= least) & known)[0]  # ties at the edge all go on
-                cols = [pa.array([name] * len(at), pa.string()), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(s[at, j])]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
-
+            order[~known] = -np.inf
+            least = np.partition(order, -k, axis=0)[-k] if k < len(order) else np.full(len(names), -np.inf)
+            of, at = np.nonzero(((order >= least) & known[:, None]).T)  # ties at the edge all go on
+            cols = [asked.take(pa.array(of)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(s[at, of])]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    if not names or k < 1:
+        return df.sparkSession.createDataFrame([], out.add("rank", "long"))
+    asked = pa.array(names, pa.string())
     best = df.where("vector is not null").select("collection", "id", "vector").mapInArrow(run, out)
     window = Window.partitionBy("query").orderBy(*R.order())
     return best.withColumn("rank", (F.row_number().over(window) - 1).cast("long")).where(F.col("rank") < k)
 
 
+def top_k_blocks(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = QUERY_BLOCK) -> DataFrame:
+    """``top_k_batch`` for a table of queries (query, vector) of any size.
+
+    The queries are written in numbered blocks of about ``block``. One block at
+    a time is on the driver and in the tasks, for one pass over the records whose
+    result is written; so neither grows with the number of queries.
+    """
+    queries = queries.where("vector is not null").select(F.col("query").cast("string").alias("query"), "vector")
+    blocks = max(1, -(-queries.count() // block))
+    numbered = materialize(queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")))
+    parts = []
+    for i in range(blocks):
+        some = numbered.where(F.col("block") == i).toArrow()
+        part = top_k_batch(df, list(zip(some["query"].to_pylist(), some["vector"].to_pylist(), strict=True)), k, metric)
+        parts.append(part if blocks == 1 else materialize(part))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def search_batch(df: DataFrame, requests: list[tuple[list[float], SearchOptions]], metric: str = "cosine", fuse: bool = False, weights: list[float] | None = None, k: float = 60.0, top_k: int = 10) -> DataFrame:
     """Several searches at once, each with its own filter and scope; with ``fuse`` joined to one ranking.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import analysis as A
 from ..functions import chunking as C
 from ..functions import filters as P
-from ..functions.partitions import spread
+from ..functions.partitions import materialize, spread
 from ..operators import ann, expand, findex, fts, listing
 from ..operators import ranking as R
 from ..operators import search as S
@@ -124,16 +124,20 @@ BATCH = """
     SELECT query, id, round(s, 6) AS score, rank FROM r WHERE rank < 10"""
 
 
+def asked(df: DataFrame) -> DataFrame:
+    """The query set: every vector whose id is divisible by 20."""
+    return df.where("row % 20 = 0").select(F.col("id").alias("query"), "vector")
+
+
+def batch_hits(df: DataFrame) -> DataFrame:
+    return df.select(F.col("query").cast("long").alias("query"), "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(BATCH)
 def knn_batch(spark, d):
     """Ten nearest to every vector whose id is divisible by 20, in blocks of queries against one scan each."""
     df = emb(spark, d)
-    wanted = df.where("row % 20 = 0").select("id", "vector").collect()
-    out = None
-    for at in range(0, len(wanted), 256):
-        part = S.top_k_batch(df, [(r["id"], list(r["vector"])) for r in wanted[at : at + 256]], 10)
-        out = part if out is None else out.unionByName(part)
-    return out.select(F.col("query").cast("long").alias("query"), "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return batch_hits(S.top_k_blocks(df, asked(df), 10))
 
 
 @query("""
@@ -174,11 +178,11 @@ def knn_int8(spark, d):
     return hits(ann.search_int8(coded, vec(df, "0"), scale))
 
 
-@query(knn_sql())
+@query()
 def knn_binary(spark, d):
-    """Sign bits at a rescoring depth that takes in all records of the small tables."""
+    """Sign bits at the default depth, which leaves most records out, so the result is approximate."""
     df = emb(spark, d)
-    return hits(ann.search_binary(ann.add_signs(df, 64), vec(df, "0"), rescore=1000))
+    return hits(ann.search_binary(ann.add_signs(df, 64), vec(df, "0")))
 
 
 @query()
@@ -203,9 +207,45 @@ def knn_hnsw_contract(spark, d):
     return hits(ann.search_hnsw(index.assign(df), index, vec(df, "0")))
 
 
+def measured(df: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each query its ten nearest by brute force, how many of them an index found, and the share."""
+    got = ann.recall_by_query(found, S.top_k_blocks(df, asked(df), 10))
+    return got.select(F.col("query").cast("long").alias("query"), "n", "found", (F.col("found") / F.col("n")).alias("recall"))
+
+
+@query()
+def recall_ivf(spark, d):
+    """An inverted file over all vectors, at the probes that sampled vectors need for a recall of 0.95, against brute force."""
+    df = emb(spark, d)
+    index = ann.fit_ivf(df)
+    indexed = materialize(index.assign(df))
+    return measured(df, ann.search_ivf_batch(indexed, index, asked(df), 10, ann.choose_probes(indexed, index)))
+
+
+@query()
+def recall_hnsw_contract(spark, d):
+    """The graph index's contract at a higher target."""
+    df = emb(spark, d)
+    index = ann.fit_ivf(df)
+    indexed = materialize(index.assign(df))
+    return measured(df, ann.search_ivf_batch(indexed, index, asked(df), 10, ann.choose_probes(indexed, index, target=0.98)))
+
+
+@query()
+def recall_int8(spark, d):
+    df = emb(spark, d)
+    return measured(df, ann.search_codes_batch(df, asked(df), 10))
+
+
+@query()
+def recall_binary(spark, d):
+    df = emb(spark, d)
+    return measured(df, ann.search_codes_batch(df, asked(df), 10, "binary"))
+
+
 @query()
 def tune_probes(spark, d):
-    cells = ann.tune(emb(spark, d), samples=5)
+    cells = ann.tune(emb(spark, d))
     return spark.createDataFrame(cells, "probes int, recall double, p50_ms double, p95_ms double, recommended boolean")
 
 
@@ -321,7 +361,7 @@ def list_order_page(spark, d):
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment, c_acctbal FROM customer ORDER BY c_custkey LIMIT 100")
 def list_projection(spark, d):
-    return listing.list_records(collection(spark, d, "customer"), exclude=["c_name", "c_nationkey"]).select("id", "c_mktsegment", "c_acctbal")
+    return listing.list_records(collection(spark, d, "customer"), exclude=["c_name", "c_nationkey"]).drop("collection")
 
 
 @query(f"SELECT CAST(d.doc_id AS VARCHAR) AS id FROM {LABELLED} ORDER BY l.quality IS NULL, l.quality DESC, d.doc_id LIMIT 500")
@@ -412,7 +452,7 @@ def highlight(spark, d):
 HYBRID = f"""
     WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 11),
     v AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) - 1 AS rank FROM (SELECT CAST(e.vec_id AS VARCHAR) AS id, {COS} AS s FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, q)),
-    x AS ({bm25_sql([["licensed", "token"]], "sum", 100).replace("documents WHERE", "documents JOIN embeddings ON doc_id = vec_id WHERE")}),
+    x AS ({bm25_sql([["licensed", "token"]], "sum", 100)}),
     f AS (SELECT id, sum(w / (60 + rank + 1)) AS s FROM (SELECT id, rank, 1.0 AS w FROM v WHERE rank < 100 UNION ALL SELECT id, rank, 2.0 FROM x) GROUP BY id),
     r AS (SELECT *, row_number() OVER (ORDER BY s DESC, id) - 1 AS rank FROM f)
     SELECT id, round(s, 6) AS score, rank FROM r WHERE rank < 15"""
@@ -420,9 +460,9 @@ HYBRID = f"""
 
 @query(HYBRID)
 def hybrid_rrf(spark, d):
-    """Documents with the vector of the same number, fused with a text ranking."""
+    """All documents, those that have a vector of the same number ranked by it, fused with a text ranking."""
     e = emb(spark, d)
-    df = collection(spark, d, "documents").join(e.select("id", "vector"), "id")
+    df = collection(spark, d, "documents").join(e.select("id", "vector"), "id", "left")
     q = fts.TextQuery([("text", "licensed token")])
     return hits(fts.hybrid_search(df, vec(e, "11"), q, PLAIN, S.SearchOptions(top_k=15), weights=(1.0, 2.0)))
 

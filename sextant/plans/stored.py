@@ -166,11 +166,11 @@ def stream_upsert(spark, d):
 
 @query()
 def remember_dedupe(spark, d):
-    """Benchmark passages remembered twice: the second time each goes onto the record that is there."""
-    m = Memory(St.Store(spark, scratch(spark), 64), "passages")
-    t = table(spark, d, "benchmark").where("text <> ''")
-    m.remember(t.select(F.col("item_id").cast("string").alias("id"), "text"), NOW)
-    m.remember(t.select(F.concat(F.lit("again-"), F.col("item_id")).alias("id"), "text"), NOW + 1, dedupe_threshold=0.999)
+    """All documents remembered twice: near copies go onto the first of them, and the second time each goes onto the record that is there."""
+    m = Memory(St.Store(spark, scratch(spark), 64), "documents")
+    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    m.remember(t, NOW, dedupe_threshold=0.95)
+    m.remember(t.withColumn("id", F.concat(F.lit("again-"), "id")), NOW + 1, dedupe_threshold=0.95)
     return shown(m.store.records(), {St.CREATED: "dt", St.UPDATED: "dt"})
 
 

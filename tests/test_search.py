@@ -79,6 +79,27 @@ def test_batch_and_fusion(small):
             S.search_batch(small, bad)
 
 
+def test_query_blocks(spark, small):
+    queries = spark.createDataFrame([(f"q{i}", [float(np.cos(i)), float(np.sin(i))]) for i in range(30)] + [("none", None)], "query string, vector array<float>")
+    for block in (4, 100):
+        got = S.top_k_blocks(small, queries, 3, block=block).collect()
+        for r in queries.where("vector is not null").collect():
+            want = page(S.search(small, list(r.vector), S.SearchOptions(top_k=3)))
+            assert sorted((x["rank"], x.collection, x.id) for x in got if x.query == r.query) == [(w[3], w[0], w[1]) for w in want]
+    assert S.top_k_blocks(small, queries.where("false"), 3).count() == 0
+
+
+def test_vectors_of_several_lengths_are_an_error(spark):
+    from sextant.functions import vectors as V
+
+    import pyarrow as pa
+
+    with pytest.raises(ValueError):
+        V.matrix(pa.array([[1.0, 2.0], None, [1.0, 2.0, 3.0, 4.0], [1.0, 2.0, 3.0]]))
+    m, known = V.matrix(pa.array([None, [1.0, 2.0]]))
+    assert known.tolist() == [False, True] and m.tolist() == [[0.0, 0.0], [1.0, 2.0]]
+
+
 def plain_mmr(score, vecs, lam):
     left, out = list(range(len(score))), []
     while left:
@@ -146,6 +167,45 @@ def test_quantised_and_ivf_recall(spark):
     assert repr(page(ann.search_ivf(indexed, index, m[0].tolist(), o))) == repr(page(S.search(df, m[0].tolist(), o)))
 
 
+def test_batch_indexes_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 16))
+    m = centres[rng.integers(0, 30, 2000)] + 0.4 * rng.normal(size=(2000, 16))
+    df = frame(spark, [("c", f"{i:04}", i, v.tolist(), None, i) for i, v in enumerate(m)]).cache()
+    queries = df.where("n % 20 = 0").select(P.F.col("id").alias("query"), "vector")
+    truth = S.top_k_blocks(df, queries, 10).cache()
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {f"{i:04}": {f"{j:04}" for j in np.argsort(-(unit @ unit[i]), kind="stable")[:10]} for i in range(0, 2000, 20)}
+    for r in truth.groupBy("query").agg(P.F.collect_set("id").alias("ids")).collect():
+        assert len(want[r["query"]] & set(r.ids)) >= 9  # single precision may swap the edge
+    index = ann.fit_ivf(df)
+    indexed = index.assign(df).cache()
+    probes = ann.choose_probes(indexed, index, target=0.95)
+    old = ann.PART
+    try:
+        for part in (old, 7):  # long lists in parts give the same
+            ann.PART = part
+            assert 1 <= probes < len(index.centroids) and ann.recall(ann.search_ivf_batch(indexed, index, queries, 10, probes), truth) >= 0.9
+    finally:
+        ann.PART = old
+    loose = indexed.withColumn("list_id", P.F.when(P.F.col("n") % 20 > 0, P.F.col("list_id")))
+    assert ann.recall(ann.search_ivf_batch(loose, index, queries, 10, len(index.centroids)), truth) == 1.0
+    assert ann.recall(ann.search_codes_batch(df, queries, 10), truth) >= 0.95
+    assert ann.recall(ann.search_codes_batch(df, queries, 10, "binary"), truth) >= 0.8
+
+
+def test_groups_beyond_the_cap(spark):
+    df = spark.range(40).selectExpr("'c' collection", "CAST(id AS STRING) id", "CAST(id % 13 AS STRING) g")
+    old = L.GROUPS
+    try:
+        L.GROUPS = 5
+        rows = L.aggregate(df, group_by="g").collect()
+    finally:
+        L.GROUPS = old
+    assert [r.grp for r in sorted(rows, key=lambda r: (r.is_total, -r.n, r.grp or "")) if not r.is_total] == ["0", "1", "10", "11", "12"]
+    assert all(r.groups_truncated for r in rows) and [r.n for r in rows if r.is_total] == [40]
+
+
 def test_bm25_and_hybrid(spark):
     rows = [("c", "1", 0, [1.0, 0.0], "the cat sat", 0), ("c", "2", 1, [0.0, 1.0], "cats running and running", 0), ("c", "3", 2, None, "a dog", 0), ("c", "4", 3, [0.5, 0.5], "the", 0), ("c", "5", 4, [0.1, 0.9], None, 0)]
     df = frame(spark, rows)

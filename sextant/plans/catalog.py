@@ -361,7 +361,7 @@ def list_order_page(spark, d):
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment, c_acctbal FROM customer ORDER BY c_custkey LIMIT 100")
 def list_projection(spark, d):
-    return listing.list_records(collection(spark, d, "customer"), exclude=["c_name", "c_nationkey"]).drop("collection")
+    return listing.list_records(collection(spark, d, "customer"), exclude=["c_name", "c_nationkey"]).drop("collection", "score", "rank")
 
 
 @query(f"SELECT CAST(d.doc_id AS VARCHAR) AS id FROM {LABELLED} ORDER BY l.quality IS NULL, l.quality DESC, d.doc_id LIMIT 500")

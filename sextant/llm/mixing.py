@@ -9,8 +9,8 @@ its last block a new stretch begins, in which the others' weights are raised in
 proportion.
 
 Only the sources with their counts reach the driver (``MAX_SOURCES`` at most). It
-goes through the slots once, one for ``block_docs`` documents, and hands them
-to Spark ``CHUNK`` at a time. Where the caller gives a ``period``, weights are
+goes through the slots once, one for ``block_docs`` documents and ``SLOTS`` about at most
+at any size of the table, and hands them to Spark ``CHUNK`` at a time. Where the caller gives a ``period``, weights are
 rounded to whole shares of so many slots and the schedule repeats; it goes to Spark as a small
 table of the stretches, each with its slots of one period. Every document is
 kept; documents get ranks within their source without bringing a source to one task.
@@ -23,20 +23,23 @@ import json
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import TMP, materialize, unique_rows, with_rank
 
+#: Documents of a block at least.
 BLOCK_DOCS = 16
 #: Sources at most; each one that ends costs the driver a step over those that are left.
 MAX_SOURCES = 5000
-#: Slots that the driver holds at a time.
-CHUNK = 1_000_000
+#: Slots that the driver holds at a time, and slots at most: beyond, blocks have more documents, so that there are no more.
+CHUNK, SLOTS = 1 << 18, 1 << 24
+#: Slots (of about 32 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST = 1_000_000
 #: The column of ``with_positions`` that sorts the documents.
 POSITION = TMP + "position"
+#: A column of ``with_positions``' input that stands for the text: its xxhash64.
+TEXT = TMP + "text"
 #: Weights are whole shares of about this number, so that they are off by less than a block in 2^60 slots.
 WHOLE = 1 << 60
 #: Default weights: documents to this power, which evens out large and small sources.
@@ -135,22 +138,21 @@ def turns(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[str]:
 
 def _slot_table(docs: DataFrame, blocks: dict[str, int], weights: dict[str, float]) -> DataFrame:
     """(__sx_of, __sx_nth, __sx_slot): the slot of every block of every source."""
-    names = sorted(blocks)
-    code = {s: i for i, s in enumerate(names)}
-    given = np.zeros(len(names), np.int64)
+    kind = "array<struct<source string, first long, slots array<long>>>"
+    given = dict.fromkeys(blocks, 0)
     order = turns(blocks, weights)
     parts, start, total = [], 0, sum(blocks.values())
     while start < total or not parts:
-        n = min(CHUNK, total - start)
-        codes = np.fromiter((code[next(order)] for _ in range(n)), np.int64, n)
-        nth = np.empty(n, np.int64)
-        by = np.argsort(codes, kind="stable")
-        counts = np.bincount(codes, minlength=len(names))
-        nth[by] = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(given, counts)
-        given += counts
-        table = pa.table({TMP + "of": pa.array(names, pa.string()).take(pa.array(codes)), TMP + "nth": nth, TMP + "slot": np.arange(start, start + n)})
-        parts.append(materialize(docs.sparkSession.createDataFrame(table)))
-        start += n
+        slots: dict[str, list[int]] = {}
+        for t in range(start, min(start + CHUNK, total)):
+            slots.setdefault(next(order), []).append(t)
+        rows = [{"source": s, "first": given[s], "slots": x} for s, x in slots.items()]
+        for s, x in slots.items():
+            given[s] += len(x)
+        each = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), kind)).alias("r")).select("r.*")
+        each = each.select(F.col("source").alias(TMP + "of"), "first", F.posexplode("slots").alias("pos", TMP + "slot"))
+        parts.append(materialize(each.select(TMP + "of", (F.col("first") + F.col("pos")).alias(TMP + "nth"), TMP + "slot")))
+        start += CHUNK
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -159,7 +161,7 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
 
 
-def with_positions(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = BLOCK_DOCS, period: int | None = None) -> DataFrame:
+def with_positions(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int | None = None, period: int | None = None) -> DataFrame:
     """``docs`` with three more columns: ``__sx_block``, ``__sx_slot`` and ``__sx_position``."""
     key, at, block = TMP + "key", TMP + "rank", TMP + "block"
     first, blocks, start, length, slots = (TMP + c for c in ("first", "blocks", "start", "length", "slots"))
@@ -170,12 +172,15 @@ def with_positions(docs: DataFrame, weights: dict[str | None, float] | None = No
     given = None if weights is None else {"null" if s is None else f"={s}": w for s, w in weights.items()}
     if given is not None and (bad := [s for s in sizes if not given.get(s, 0) > 0]):
         raise ValueError(f"no positive weight for sources {sorted(bad)[:5]}")
+    block_docs = block_docs or max(BLOCK_DOCS, -(-sum(sizes.values()) // SLOTS))
     counts, targets = {s: -(-n // block_docs) for s, n in sizes.items()}, given or {s: n**POWER for s, n in sizes.items()}
-    by = F.xxhash64(*unique_rows(docs), *([F.col("text")] if "text" in docs.columns else []))
+    by = F.xxhash64(*unique_rows(docs), F.col(TEXT) if TEXT in docs.columns else F.xxhash64("text") if "text" in docs.columns else F.lit(0))
     ranked = with_rank(keyed, [key], by, unique_rows(docs), at, sum(sizes.values())).withColumn(block, F.floor(F.col(at) / block_docs).cast("long"))
     position = F.col(TMP + "slot") * block_docs + F.col(at) % block_docs
     if period is None:
         table = _slot_table(docs, counts, targets)
+        if sum(counts.values()) <= BROADCAST:
+            table = F.broadcast(table)
         placed = ranked.join(table, (F.col(key) == F.col(TMP + "of")) & (F.col(block) == F.col(TMP + "nth")))
         return placed.withColumn(TMP + "position", position.cast("long")).select(*docs.columns, block, TMP + "slot", TMP + "position")
     stretches = schedule(counts, targets, period)
@@ -189,7 +194,7 @@ def with_positions(docs: DataFrame, weights: dict[str | None, float] | None = No
     return placed.withColumn(TMP + "slot", slot.cast("long")).withColumn(TMP + "position", position.cast("long")).select(*docs.columns, block, TMP + "slot", TMP + "position")
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = BLOCK_DOCS, period: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int | None = None, period: int | None = None) -> DataFrame:
     """(doc_id, source, block, slot, position) for every row of ``docs``: the order in which to read them.
 
     ``weights`` are the sources' targets (any positive numbers, None names the
@@ -203,7 +208,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_d
     return placed.select("doc_id", "source", F.col(TMP + "block").alias("block"), F.col(TMP + "slot").alias("slot"), F.col(TMP + "position").alias("position"))
 
 
-def in_mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = BLOCK_DOCS, period: int | None = None) -> DataFrame:
+def in_mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int | None = None, period: int | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, laid out in mixed order: range partitions of ``position``, sorted."""
     position = TMP + "position"
     placed = with_positions(docs, weights, block_docs, period)

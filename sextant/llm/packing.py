@@ -108,32 +108,34 @@ def cuts(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, size) for s in range(first, n, size)]
 
 
-def tokenize(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) and the columns ``keep`` for every piece of every row; a document's ids are followed by ``end_id``."""
-    ints = ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())
-    out = T.StructType([docs.schema["doc_id"], *[T.StructField(n, t) for n, t in ints], *[docs.schema[c] for c in keep]])
+#: The pieces of a document, as ``tokenize_rows`` gives them.
+PIECES = TMP + "pieces"
+_PIECE = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+
+
+def tokenize_rows(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0) -> DataFrame:
+    """``docs`` with its text replaced by ``__sx_pieces``, an array of (piece, start, length, ids_crc32); a document's ids are followed by ``end_id``."""
+    keep = [c for c in docs.columns if c != "text"]
+    out = T.StructType([*[docs.schema[c] for c in keep], T.StructField(PIECES, T.ArrayType(_PIECE))])
     arrow = to_arrow_schema(out)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            row, piece, start, length, crc = [], [], [], [], []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, text in enumerate(texts):
-                ids = enc.encode(text).astype("<u4", copy=False).tobytes() + end
-                for k, (s, n) in enumerate(cuts(len(ids) // 4, size)):
-                    row.append(i)
-                    piece.append(k)
-                    start.append(s)
-                    length.append(n)
-                    crc.append(zlib.crc32(ids[4 * s : 4 * (s + n)]))
-            ids = batch.column(0).take(pa.array(row, pa.int64())).cast(arrow.field(0).type)
-            cols = [pa.array(v, arrow.field(j + 1).type) for j, v in enumerate((piece, start, length, crc))]
-            kept = [batch.column(2 + j).take(pa.array(row, pa.int64())).cast(arrow.field(5 + j).type) for j in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([ids, *cols, *kept], schema=arrow)
-
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, out)
+            made = []
+            for text in batch.column(0).to_pylist():
+                ids = enc.encode(text or "").astype("<u4", copy=False).tobytes() + end
+                made.append([{"piece": k, "start": s, "length": n, "ids_crc32": zlib.crc32(ids[4 * s : 4 * (s + n)])} for k, (s, n) in enumerate(cuts(len(ids) // 4, size))])
+            kept = [batch.column(1 + j).cast(arrow.field(j).type) for j in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(made, arrow.field(len(keep)).type)], schema=arrow)
+
+    return docs.select("text", *keep).mapInArrow(run, out)
+
+
+def tokenize(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) for every piece of every row."""
+    return tokenize_rows(docs.select("doc_id", "text"), tokenizer, size, end_id).select("doc_id", F.inline(PIECES))
 
 
 def patterns(present: np.ndarray, size: int, most: int = TRIPLES) -> np.ndarray:
@@ -336,8 +338,8 @@ def places(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def pack_in_order(docs: DataFrame, tokenizer: str, position: str, size: int = SIZE, window: int = WINDOW) -> DataFrame:
-    """Like ``pack``, with sequences in the order of the column ``position`` (unique, from 0, with few gaps).
+def pack_in_order(rows: DataFrame, position: str, size: int = SIZE, window: int = WINDOW) -> DataFrame:
+    """Like ``pack``, with sequences in the order of the column ``position`` (unique, from 0, with few gaps) of ``rows`` from ``tokenize_rows``.
 
     Each ``window`` positions have a plan of their own, from the histogram of
     their lengths, and their sequences follow those of the windows before. So
@@ -345,8 +347,7 @@ def pack_in_order(docs: DataFrame, tokenizer: str, position: str, size: int = SI
     of each length go to its sequences in the order of their positions.
     """
     group, local = TMP + "window", TMP + "local"
-    keyed = docs.select("doc_id", "text", F.col(position).alias(position)).withColumn(group, F.floor(F.col(position) / window).cast("long"))
-    pieces = materialize(tokenize(keyed, tokenizer, size, keep=(position, group)))
+    pieces = rows.select("doc_id", position, F.floor(F.col(position) / window).cast("long").alias(group), F.inline(PIECES))
     fields = [f for f in pieces.schema.fields if f.name != position]
     out = T.StructType([*fields, T.StructField(local, T.LongType()), T.StructField("offset", T.LongType())])
     arrow = to_arrow_schema(out)

@@ -18,11 +18,11 @@ def test_sequences_follow_the_weights(spark):
 def test_windows(spark):
     texts = {i: "word " * (i * 37 % 90) for i in range(300)} | {300: None, 301: ""}
     docs = spark.createDataFrame([(d, t, "s") for d, t in texts.items()], "doc_id long, text string, source string")
-    placed = M.with_positions(docs)
-    rows = K.pack_in_order(placed, P.tokenizer_path(), M.POSITION, 64, 32).collect()
+    placed = M.with_positions(K.tokenize_rows(docs, P.tokenizer_path(), 64))
+    rows = K.pack_in_order(placed, M.POSITION, 64, 32).collect()
     n, least = check_packing(rows, texts, 64)
     assert {r.sequence_id for r in rows} == set(range(n))
     at = {r.doc_id: r[M.POSITION] // 32 for r in placed.collect()}
     by = sorted((r.sequence_id, at[r.doc_id]) for r in rows)
     assert [w for _, w in by] == sorted(w for _, w in by)
-    assert K.pack_in_order(placed.where("false"), P.tokenizer_path(), M.POSITION).count() == 0
+    assert K.pack_in_order(placed.where("false"), M.POSITION).count() == 0

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from .common import arrow_map, held_out, materialize
 EXAMPLES = 2000
 #: Examples that a term needs, and the share of the corpus's documents from which on it weighs nothing.
 LEAST, STOP = 2, 0.5
-NEIGHBOURS, BLOCK, FULL = 100, 32, 16
+NEIGHBOURS, BLOCK, FULL = 100, 128, 16
 #: Votes of the prior that smooth a term's votes, and terms whose votes count.
 SMOOTH, EVIDENCE = 5.0, 3
 #: Neighbours that are returned by id.
@@ -129,19 +130,21 @@ class Index:
         found = found[np.lexsort((found, -scores[found]))][:k]
         return found, scores[found], read
 
-    def shared(self, rows: np.ndarray, read: list, strengths: list[np.ndarray], n: int) -> list[np.ndarray]:
-        """For each of a query's ``n`` terms the sum of each of ``strengths`` (by row, zero but for ``rows``) over the rows that have it."""
+    def shared(self, rows: np.ndarray, read: list, strength: np.ndarray, labels: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each of a query's ``n`` terms the sums of ``strength`` and of ``strength`` x ``labels`` over those of ``rows`` that have it."""
         (often, full), *sparse = read
-        have = self.full[np.ix_(full, rows)] > 0
-        inside = np.zeros(self.n, bool)
-        inside[rows] = True
-        sparse = [(of[i], row[i]) for of, row in sparse for i in [inside[row]]]
-        made = []
-        for strength in strengths:
-            out = sum((np.bincount(of, strength[row], n) for of, row in sparse), np.zeros(n))
-            out[often] = have @ strength[rows]
-            made.append(out)
-        return made
+        by_row = np.zeros(self.n)
+        by_row[rows] = strength
+        total, marked = np.zeros(n), np.zeros(n)
+        for of, row in sparse:
+            got = by_row[row]
+            use = np.nonzero(got)[0]
+            of, got = of[use], got[use]
+            total += np.bincount(of, got, n)
+            marked += np.bincount(of, got * labels[row[use]], n)
+        have = self.full[full[:, None], rows] > 0
+        total[often], marked[often] = (have @ np.column_stack([strength, strength * labels[rows]])).T
+        return total, marked
 
     def search(self, query: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[int, float]]:
         """The k rows of the greatest positive cosine, (row, cosine), by descending cosine and then row; exact."""
@@ -187,10 +190,10 @@ class Model:
 
     def vector(self, counts: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights) of the unit TF-IDF vector over the vocabulary; (1 + ln(count)) x IDF per term."""
-        get = self.vocabulary.get
-        known = [(i, n) for t, n in counts.items() if (i := get(t)) is not None]
-        ids = np.array([t for t, _ in known], np.int64)
-        v = (1 + np.log([n for _, n in known])) * self.idf[ids] if known else np.zeros(0)
+        ids = np.fromiter(map(self.vocabulary.get, counts, repeat(-1)), np.int64, len(counts))
+        n = np.fromiter(counts.values(), float, len(counts))[ids >= 0]
+        ids = ids[ids >= 0]
+        v = (1 + np.log(n)) * self.idf[ids] if len(ids) else n
         ids, v = ids[v > 0], v[v > 0]
         return ids, v / np.sqrt((v * v).sum()) if len(v) else v
 
@@ -203,9 +206,7 @@ class Model:
         rows, cosines, read = self.index.near(ids, weights, NEIGHBOURS, without, begun)
         if not len(rows):
             return None, rows, rows
-        strength = np.zeros(self.index.n)
-        strength[rows] = self.weight[rows] * cosines / cosines.mean()
-        n, a = self.index.shared(rows, read, [strength, strength * self.labels], len(ids))
+        n, a = self.index.shared(rows, read, self.weight[rows] * cosines / cosines.mean(), self.labels, len(ids))
         votes = (a + SMOOTH * self.prior) / (n + SMOOTH)
         order = np.lexsort((ids, -votes))
         best = votes[order[:EVIDENCE]]

@@ -14,10 +14,12 @@ HASH, PATH, CHUNKS = "mem_source_hash", "mem_source_path", "mem_source_chunks"
 
 
 def read_directory(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path, text) of the UTF-8 files below ``root``; dot entries and other bytes are left out."""
+    """(path, text) of the UTF-8 files below ``root``; dot entries and other bytes are left out, and so are names that begin with an underscore, which Spark's file sources take for hidden."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/")
-    rel = F.regexp_replace("path", f"^(file:/*)?/?{base.lstrip('/').replace('.', '[.]')}/", "")
+    # What comes before the folder, its scheme and host, has no part of the folder's own path in it.
+    rel = F.substring("path", F.locate(base, F.col("path")) + F.lit(len(base)), F.length("path"))
     rows = files.select(rel.alias("path"), F.col("content").cast("string").alias("text")).where(F.is_valid_utf8("text"))
     rows = rows.where(~F.col("path").rlike(r"(^|/)\."))
     return (rows if glob is None else rows.where(F.col("path").rlike(glob_regex(glob)))).select("path", "text")

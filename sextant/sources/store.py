@@ -56,19 +56,25 @@ class Files:
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def create(self, name: str, text: str) -> None:
-        """Write a file that must not exist yet."""
+        """Write a file that must not exist yet: whole under another name, then renamed without overwriting, so that it is never seen half written."""
         if self.fs.exists(self.path(name)):
             raise Conflict(name)
-        try:
-            out = self.fs.create(self.path(name), False)
-        except Exception as e:
-            if "AlreadyExists" in str(e):
-                raise Conflict(name) from None
-            raise
+        folder, _, last = name.rpartition("/")
+        aside = f"{folder}/.{last}-{uuid.uuid4().hex}".lstrip("/")
+        out = self.fs.create(self.path(aside), False)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
+        try:
+            done = self.fs.rename(self.path(aside), self.path(name)) if not self.fs.exists(self.path(name)) else False
+        except Exception as e:
+            if "AlreadyExists" not in str(e):
+                raise
+            done = False
+        if not done:
+            self.fs.delete(self.path(aside), False)
+            raise Conflict(name)
 
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))
@@ -173,7 +179,7 @@ class Store:
         return {"path": name, **self._sums(name)}
 
     def _sums(self, name: str) -> dict:
-        got = self.spark.read.schema(STORED).parquet(f"{self.root}/{name}").groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.count("vector").alias("v"), F.sum(F.xxhash64("ord", "collection", "id", "at", "vector", "meta").cast("decimal(38,0)")).alias("h")).collect()
+        got = self.spark.read.schema(STORED).parquet(f"{self.root}/{name}").groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.count("vector").alias("v"), F.sum(F.xxhash64("ord", "collection", "id", "at", "vector", "meta", F.to_json("attrs")).cast("decimal(38,0)")).alias("h")).collect()
         return {"kinds": {r["op"]: r["n"] for r in got}, "vectors": sum(r["v"] for r in got), "hash": str(sum(int(r["h"]) for r in got))}
 
     def append(self, ops: DataFrame, **changes) -> dict:

@@ -33,9 +33,10 @@ def upsert_stream(records: DataFrame, spark: SparkSession, root: str, collection
             gone = rows.where(F.col(deletes)).select(F.lit(collection).alias("collection"), "id") if deletes else None
             rows = rows.where(~F.col(deletes)).drop(deletes) if deletes else rows
             try:
-                if gone is not None:
-                    store._delete(gone.join(store.records([collection]).select("id"), "id", "left_semi"))
-                store.upsert(rows, collection, streams={**store.manifest["streams"], name: number})
+                with store.group():  # deletes and upserts are one version
+                    if gone is not None:
+                        store._delete(gone.join(store.records([collection]).select("id"), "id", "left_semi"))
+                    store.upsert(rows, collection, streams={**store.manifest["streams"], name: number})
                 return
             except Conflict:
                 continue  # another writer was first: go on from its version

@@ -333,13 +333,13 @@ class _Compiler:
                 return self._typed(attr, "list", lambda c: F.arrays_overlap(c, F.lit(some))) if some else false
             case "ContainsAllTokens":
                 q = sorted(set(X.token_list(v)))
-                return self._text(attr, lambda c: F.size(F.array_intersect(X.tokens(c), F.lit(q))) == len(q) if q else c.isNotNull())
+                return self._text(attr, lambda c: X.has_all(c, q) & (F.size(F.array_intersect(X.tokens(c), F.lit(q))) == len(q)) if q else c.isNotNull())
             case "ContainsAnyToken":
                 q = sorted(set(X.token_list(v)))
-                return self._text(attr, lambda c: F.arrays_overlap(X.tokens(c), F.lit(q))) if q else false
+                return self._text(attr, lambda c: X.has_any(c, q) & F.arrays_overlap(X.tokens(c), F.lit(q))) if q else false
             case "ContainsTokenSequence":
                 q = " ".join(X.token_list(v))
-                return self._text(attr, lambda c: F.contains(F.concat(F.lit(" "), F.array_join(X.tokens(c), " "), F.lit(" ")), F.lit(f" {q} ")) if q else c.isNotNull())
+                return self._text(attr, lambda c: X.has_all(c, q.split(" ")) & F.contains(F.concat(F.lit(" "), F.array_join(X.tokens(c), " "), F.lit(" ")), F.lit(f" {q} ")) if q else c.isNotNull())
             case "Regex":
                 return self._text(attr, lambda c: c.rlike(X.anchored_regex(v)))
         raise TypeError(f"not a predicate: {p!r}")

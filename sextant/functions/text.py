@@ -26,6 +26,30 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(fold_ascii(c), NOT_TOKEN), lambda t: t != "")
 
 
+def _parts(c: Column, q: list[str]) -> list[Column]:
+    # Lower-casing changes no more of ASCII than folding does, and is faster.
+    return [F.contains(F.lower(c), F.lit(t)) for t in q if t.isascii()]
+
+
+def has_all(c: Column, q: list[str]) -> Column:
+    """Whether the text has all of the tokens ``q`` somewhere, which is cheap, needed for having them as tokens, and decides most rows."""
+    out = F.lit(True)
+    for part in _parts(c, q):
+        out = out & part
+    return out
+
+
+def has_any(c: Column, q: list[str]) -> Column:
+    """Likewise for any of them."""
+    parts = _parts(c, q)
+    if len(parts) < len(q):
+        return F.lit(True)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out | part
+    return out
+
+
 def token_list(s: str) -> list[str]:
     """The same runs of a literal."""
     out, run = [], ""

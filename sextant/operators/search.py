@@ -7,7 +7,7 @@ tail then caps per value, diversifies, cuts the page and expands neighbours.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -25,6 +25,8 @@ from ..functions.partitions import materialize
 from . import ranking as R
 
 MAX_DEPTH, MAX_BATCH = 10_000, 16
+#: Pages that a reranker scores.
+OVERSCAN = 10
 #: Query vectors that are searched in one pass, about.
 QUERY_BLOCK = 2048
 
@@ -97,6 +99,25 @@ def search(df: DataFrame, query: list[float], opts: SearchOptions = SearchOption
     return tail(rows.withColumn("score", V.score(F.col("vector"), list(query), metric)), opts)
 
 
+def reranked(find: Callable[[SearchOptions], DataFrame], opts: SearchOptions, query: str, text: str, reranker: R.Reranker = R.overlap_reranker, overscan: int = OVERSCAN) -> DataFrame:
+    """A page of ``find`` (any search, as a function of its options) in the order of a reranker's scores for (query, ``text``).
+
+    ``overscan`` pages are found, whatever columns the page shows, and scored;
+    records without text come after all others, with the scores they have. The
+    cap per value, the page and its columns apply to the new order.
+    """
+    if opts.diversity is not None or opts.min_score is not None:
+        raise ValueError("not available with a reranker")
+    end = opts.offset + opts.top_k
+    deep = replace(opts, top_k=min(MAX_DEPTH, end * overscan), offset=0, limit_per=None, include=None, exclude=None)
+    hits = R.rerank(find(deep).drop("rank"), query, text, reranker)
+    if opts.limit_per is not None:
+        hits = R.limit_per(hits, *opts.limit_per, R.rerank_order())
+    window = Window.partitionBy(F.lit(0)).orderBy(*R.rerank_order())
+    ranked = hits.orderBy(*R.rerank_order()).limit(end).withColumn("rank", (F.row_number().over(window) - 1).cast("long"))
+    return project(ranked.where(F.col("rank") >= opts.offset).drop("passed"), opts)
+
+
 def stored_vector(df: DataFrame, collection: str, id: str) -> list[float]:
     found = df.where((F.col("collection") == collection) & (F.col("id") == id)).select("vector").head(1)
     if not found or found[0]["vector"] is None:

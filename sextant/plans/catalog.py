@@ -467,6 +467,41 @@ def hybrid_rrf(spark, d):
     return hits(fts.hybrid_search(df, vec(e, "11"), q, PLAIN, S.SearchOptions(top_k=15), weights=(1.0, 2.0)))
 
 
+def reranked_sql(found: str, words: list[str], page: str = "rank < 10", cap: str = "true", more: str = "") -> str:
+    """The ids of ``found`` by the share of the words in their text, and a tenth of their density."""
+    q = "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    return f"""
+    WITH w AS (SELECT CAST(doc_id AS VARCHAR) AS id, source, {TOKENS} AS w FROM documents WHERE text <> ''),
+    s AS (SELECT id, source, len(list_intersect(list_distinct(w), {q})) / {len(words)}.0 + 0.1 * len(list_filter(w, lambda x: list_contains({q}, x))) / greatest(1, len(w)) AS s
+      FROM w JOIN ({found}) f USING (id)),
+    c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s DESC, id) AS n FROM s),
+    r AS (SELECT *, row_number() OVER (ORDER BY s DESC, id) - 1 AS rank FROM c WHERE {cap})
+    SELECT id, round(s, 6) AS score, rank{more} FROM r WHERE {page}"""
+
+
+@query(reranked_sql(bm25_sql([["licensed", "apache"]], "sum", 100), ["apache", "license", "version"]))
+def rerank_search(spark, d):
+    """Ten pages of a text search, in the order of a reranker."""
+    df, q = collection(spark, d, "documents"), fts.TextQuery([("text", "licensed apache")])
+    return hits(S.reranked(lambda o: fts.text_search(df, q, PLAIN, o), S.SearchOptions(include=[]), "apache license version", "text"))
+
+
+@query(reranked_sql(bm25_sql([["licensed", "apache"]], "sum", 150), ["apache", "license", "version"], "rank BETWEEN 5 AND 14", "n <= 2", ", source"))
+def rerank_capped_page(spark, d):
+    """Two documents a source at most, counted and paged after the reranker."""
+    df, q = collection(spark, d, "documents"), fts.TextQuery([("text", "licensed apache")])
+    return hits(S.reranked(lambda o: fts.text_search(df, q, PLAIN, o), S.SearchOptions(offset=5, limit_per=("source", 2), include=["source"]), "apache license version", "text"), "source")
+
+
+@query(reranked_sql(HYBRID.replace("rank < 15", "rank < 100"), ["apache", "license", "version"]))
+def rerank_hybrid(spark, d):
+    """A hybrid search's fused ranking, in the order of a reranker."""
+    e = emb(spark, d)
+    df = collection(spark, d, "documents").join(e.select("id", "vector"), "id", "left")
+    q = fts.TextQuery([("text", "licensed token")])
+    return hits(S.reranked(lambda o: fts.hybrid_search(df, vec(e, "11"), q, PLAIN, o, weights=(1.0, 2.0)), S.SearchOptions(), "apache license version", "text"))
+
+
 @query()
 def rerank_text(spark, d):
     q = fts.TextQuery([("text", "licensed apache")])

@@ -143,6 +143,8 @@ def _dense_links(hot: DataFrame, max_bits: int) -> DataFrame:
     """Links among ``hot`` fingerprints by the values at ``max_bits / 2`` flips or fewer from them."""
     flips = [0] + [sum(1 << b for b in c) for r in range(1, (max_bits + 1) // 2 + 1) for c in combinations(range(BITS), r)]
     masks = F.array(*[_long(m) for m in flips])
+    # Few rows, each of which becomes thousands: kept over all partitions.
+    hot = hot.repartition(int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     near = hot.select("fp", F.explode(masks).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("key"))
     least = near.groupBy("key").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = near.join(least, "key").where(F.col("fp") != F.col("a"))

@@ -50,12 +50,25 @@ def _exact(candidates: DataFrame, query: list[float], opts: S.SearchOptions, met
 
 
 def search_int8(df: DataFrame, query: list[float], scale: float, opts: S.SearchOptions = S.SearchOptions(), metric: str = "cosine", rescore: int = INT8_RESCORE) -> DataFrame:
-    """Two passes: the best depth x ``rescore`` by codes, then exact scores. ``df`` has the column ``codes``."""
+    """Two passes: the best depth x ``rescore`` by codes, then exact scores. ``df`` has the column ``codes``.
+
+    Where the codes are of unit vectors and the page is cut by score alone, the
+    first pass is only a start: no vector that codes could hide is left out, since a code is
+    off by half a ``scale`` in each element at most. The score of the page's
+    last row among the first candidates, less that error, is what a code has to reach.
+    """
     q = V.unit(np.array([query], float))[0] if metric == "cosine" else np.array(query, float)
     codes = V.quantize(q, scale)
     rows = S.scoped(df, opts.scope).where(compile_filter(opts.where, bind(df))).where("codes is not null")
     first = rows.withColumn("score", V.score(F.col("codes"), codes.tolist(), "dot" if metric == "cosine" else metric))
-    return _exact(first.orderBy(*R.order()).limit(opts.depth * rescore), query, opts, metric)
+    candidates = first.orderBy(*R.order()).limit(opts.depth * rescore)
+    if metric == "cosine" and opts.rank_by is None and opts.depth > 0:
+        known = candidates.select(V.score(F.col("vector"), list(query), metric).alias("s")).orderBy(F.isnan("s"), F.desc("s")).limit(opts.depth).agg(F.min("s"), F.count(F.lit(1))).first()
+        # Fewer candidates than a page are all there are.
+        if known[1] == opts.depth and math.isfinite(known[0]):
+            error = scale / 2 * float(np.abs(q).sum()) + (1 + scale / 2 * math.sqrt(len(q))) * float(np.linalg.norm(q - scale * codes)) + 1e-6
+            candidates = first.where((F.col("score") * scale * scale >= known[0] - error) | F.isnan("score"))
+    return _exact(candidates, query, opts, metric)
 
 
 def search_binary(df: DataFrame, query: list[float], opts: S.SearchOptions = S.SearchOptions(), rescore: int = BINARY_RESCORE) -> DataFrame:

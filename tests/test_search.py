@@ -297,3 +297,17 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
+
+
+def test_int8_finds_what_codes_cannot_tell_apart(spark):
+    import numpy as np
+
+    from sextant.operators import ann
+
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=32)
+    m = np.concatenate([base + 1e-3 * rng.normal(size=(900, 32)), rng.normal(size=(100, 32))])
+    df = spark.createDataFrame([("c", f"{i:04}", v.tolist()) for i, v in enumerate(m)], "collection string, id string, vector array<double>")
+    coded, scale = ann.add_int8(df)
+    got, want = ([(r.id, r.rank) for r in x.orderBy("rank").collect()] for x in (ann.search_int8(coded, base.tolist(), scale), S.search(df, base.tolist())))
+    assert got == want

@@ -31,6 +31,8 @@ ITERATIONS = 12
 FIT_ROWS = 50_000
 #: Vectors that are held against all centroids at a time; records of a list that one task holds, about.
 FIT_BLOCK, PART = 2048, 20_000
+#: Queries that meet a list's records at a time.
+QUERY_STEP = 2048
 
 
 def add_int8(df: DataFrame, scale: float | None = None, metric: str = "cosine") -> tuple[DataFrame, float]:
@@ -95,7 +97,7 @@ class Ivf:
         @F.arrow_udf("int")
         def of(col: pa.Array) -> pa.Array:
             m, known = V.matrix(col)
-            at = V.scores(m, centroids, metric).argmax(axis=1) if m.shape[1] else np.zeros(len(m), int)
+            at = np.concatenate([V.scores(m[i : i + S.STEP], centroids, metric).argmax(axis=1) for i in range(0, len(m), S.STEP)]) if len(m) and m.shape[1] else np.zeros(len(m), int)
             return pa.array(at.astype(np.int32), mask=~known)
 
         return df.withColumn("list_id", of("vector"))
@@ -174,32 +176,37 @@ def search_ivf_batch(indexed: DataFrame, index: Ivf, queries: DataFrame, k: int,
     @F.arrow_udf("array<int>")
     def nearest(col: pa.Array) -> pa.Array:
         m, _ = V.matrix(col)
-        s = V.scores(m, centroids, metric)
-        return pa.array(list(np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32)), pa.list_(pa.int32()))
+        near = [np.argsort(-V.scores(m[i : i + S.STEP], centroids, metric), axis=1, kind="stable")[:, :probes].astype(np.int32) for i in range(0, len(m), S.STEP)]
+        return pa.array([x for some in near for x in some], pa.list_(pa.int32()))
 
     records = indexed.where("vector is not null").select("list_id", "collection", "id", "vector")
     lists = materialize(records.where("list_id is not null").groupBy("list_id").agg((F.floor(F.count(F.lit(1)) / PART) + 1).cast("int").alias("parts")))
     asked = materialize(queries.where("vector is not null").select(F.col("query").cast("string").alias("query"), "vector"))
     left = records.join(lists, "list_id").withColumn("part", F.pmod(F.xxhash64("collection", "id"), F.col("parts")).cast("int"))
     probed = asked.select("query", F.col("vector").alias("qv"), F.explode(nearest("vector")).alias("list_id")).join(lists, "list_id")
+    # A list that very many queries probe meets them in parts too, its records once for each.
+    crowds = materialize(probed.groupBy("list_id").agg((F.floor(F.count(F.lit(1)) / PART) + 1).cast("int").alias("crowds")))
+    left = left.join(crowds, "list_id").withColumn("crowd", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)))
+    probed = probed.join(crowds, "list_id").withColumn("crowd", F.pmod(F.xxhash64("query"), F.col("crowds")).cast("int"))
     right = probed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     out = T.StructType([T.StructField("query", T.StringType()), T.StructField("collection", T.StringType()), T.StructField("id", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def meet(rows: pa.Table, wanted: pa.Table) -> pa.Table:
         if not len(rows) or not len(wanted):
             return to_arrow_schema(out).empty_table()
-        m, _ = V.matrix(rows["vector"])
         got = []
-        for at in range(0, len(wanted), 256):
-            some = wanted.slice(at, 256)
-            s = V.scores(m, V.matrix(some["qv"])[0], metric)
-            order = np.where(np.isnan(s), -np.inf, s)
-            least = np.partition(order, -k, axis=0)[-k] if k < len(order) else np.full(len(some), -np.inf)
-            of, row = np.nonzero((order >= least).T)
-            got.append(pa.table({"query": some["query"].take(pa.array(of)), "collection": rows["collection"].take(pa.array(row)), "id": rows["id"].take(pa.array(row)), "score": s[row, of]}).cast(to_arrow_schema(out)))
+        colls, ids = rows["collection"].combine_chunks(), rows["id"].combine_chunks()
+        for at in range(0, len(wanted), QUERY_STEP):
+            some = wanted.slice(at, QUERY_STEP)
+            q, best = V.matrix(some["qv"])[0], S.Best(len(some), k)
+            for row in range(0, len(rows), S.STEP):
+                m, known = V.matrix(rows["vector"].slice(row, S.STEP))
+                best.add(V.scores(m, q, metric), colls.slice(row, S.STEP), ids.slice(row, S.STEP), known)
+            names = some["query"].combine_chunks()
+            got += [pa.table({"query": names.take(pa.array(of)), "collection": c, "id": i, "score": s}).cast(to_arrow_schema(out)) for of, c, i, s in best.parts()]
         return pa.concat_tables(got)
 
-    keys = ["list_id", "part"]
+    keys = ["list_id", "part", "crowd"]
     found = left.select(*keys, "collection", "id", "vector").groupBy(*keys).cogroup(right.select(*keys, "query", "qv").groupBy(*keys)).applyInArrow(meet, out)
     loose = records.where("list_id is null")
     if loose.take(1):

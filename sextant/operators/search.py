@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,8 @@ MAX_DEPTH, MAX_BATCH = 10_000, 16
 OVERSCAN = 10
 #: Query vectors that are searched in one pass, about.
 QUERY_BLOCK = 2048
+#: Records that are scored against a block of queries at a time.
+STEP = 512
 
 
 @dataclass(frozen=True)
@@ -131,11 +134,72 @@ def search_similar(df: DataFrame, collection: str, id: str, opts: SearchOptions
     return search(df.where(~((F.col("collection") == collection) & (F.col("id") == id))), query, opts, metric)
 
 
+class Best:
+    """The ``k`` best of each query over any number of steps, in the order of ``ranking.order``: score, NaN last, then collection and id.
+
+    A step holds (rows x queries) scores of STEP rows; between steps there are
+    about 2 k hits a query, so neither the rows that are seen nor ties make it grow.
+    """
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.rows = k, queries
+        self.least = np.full(queries, -np.inf)
+        self.none()
+
+    def none(self) -> None:
+        self.of, self.score = [], []
+        self.colls, self.ids, self.held = [], [], 0
+
+    def add(self, s: np.ndarray, colls: pa.Array, ids: pa.Array, known: np.ndarray) -> None:
+        order = np.where(np.isnan(s), -np.inf, s)
+        order[~known] = -np.inf
+        k = self.k
+        if k < len(order) and np.isneginf(self.least).any():
+            least = np.maximum(self.least, np.partition(order, -k, axis=0)[-k])
+        else:
+            least = self.least
+        of, at = np.nonzero(((order >= least) & known[:, None]).T)
+        if not len(of):
+            return
+        self._put(of, s[at, of], colls.take(pa.array(at)), ids.take(pa.array(at)))
+        if self.held > 2 * k * self.rows + STEP:
+            self._cut()
+
+    def _put(self, of, score, colls, ids) -> None:
+        self.of.append(of)
+        self.score.append(score)
+        self.colls.append(colls.cast(pa.string()))
+        self.ids.append(ids.cast(pa.string()))
+        self.held += len(of)
+
+    def _cut(self) -> None:
+        of, score = np.concatenate(self.of), np.concatenate(self.score)
+        colls, ids = pa.concat_arrays(self.colls), pa.concat_arrays(self.ids)
+        nan = np.isnan(score)
+        table = pa.table({"of": of, "nan": nan.astype(np.int8), "s": np.where(nan, 0.0, -score), "c": colls, "i": ids})
+        by = pc.sort_indices(table, [("of", "ascending"), ("nan", "ascending"), ("s", "ascending"), ("c", "ascending"), ("i", "ascending")]).to_numpy()
+        sorted_of = of[by]
+        starts = np.searchsorted(sorted_of, np.arange(self.rows))
+        place = np.arange(len(by)) - starts[sorted_of]
+        keep = by[place < self.k]
+        last = by[place == self.k - 1]  # what a full query has at its end bounds what may come
+        self.least[of[last]] = np.where(nan[last], -np.inf, score[last])
+        self.none()
+        self._put(of[keep], score[keep], colls.take(pa.array(keep)), ids.take(pa.array(keep)))
+
+    def parts(self, size: int = 100_000):
+        """(query, collection, id, score) of what is best, some at a time."""
+        if self.held:
+            self._cut()
+            for at in range(0, self.held, size):
+                yield self.of[0][at : at + size], self.colls[0].slice(at, size), self.ids[0].slice(at, size), self.score[0][at : at + size]
+
+
 def top_k_batch(df: DataFrame, queries: list[tuple[str, list[float]]], k: int, metric: str = "cosine") -> DataFrame:
     """(query, collection, id, score, rank): the k nearest records to each of any number of queries, in one pass.
 
-    Every Arrow batch is scored against all queries by one matrix product and
-    gives its k best of each; the rest is a ranking per query.
+    Every STEP rows are scored against all queries by one matrix product; a task
+    gives its k best of each query, and the rest is a ranking per query.
     """
     names = [n for n, _ in queries]
     m = np.array([v for _, v in queries], np.float64)
@@ -143,16 +207,15 @@ def top_k_batch(df: DataFrame, queries: list[tuple[str, list[float]]], k: int, m
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, known = V.matrix(b.column(2))
-            if not known.any():
-                continue
-            s = V.scores(rows, m, metric)
-            order = np.where(np.isnan(s), -np.inf, s)
-            order[~known] = -np.inf
-            least = np.partition(order, -k, axis=0)[-k] if k < len(order) else np.full(len(names), -np.inf)
-            of, at = np.nonzero(((order >= least) & known[:, None]).T)  # ties at the edge all go on
-            cols = [asked.take(pa.array(of)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(s[at, of])]
+        best = Best(len(names), k)
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP):
+                b = whole.slice(at, STEP)
+                rows, known = V.matrix(b.column(2))
+                if known.any():
+                    best.add(V.scores(rows, m, metric), b.column(0), b.column(1), known)
+        for of, colls, ids, score in best.parts():
+            cols = [asked.take(pa.array(of)), colls, ids, pa.array(score)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
     if not names or k < 1:

@@ -299,6 +299,25 @@ def test_entry(spark):
     assert e.entry(spark).count() > 0
 
 
+def test_best_of_steps_holds_few_and_breaks_ties_by_id():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    scores = rng.integers(0, 4, (4000, 3)).astype(float)
+    scores[:, 1] = 1.0  # nothing but ties
+    scores[::7, 2] = np.nan
+    ids = [f"{i:04}" for i in rng.permutation(4000)]
+    best = S.Best(3, 5)
+    for at in range(0, 4000, S.STEP):
+        n = len(scores[at : at + S.STEP])
+        best.add(scores[at : at + S.STEP], pa.array(["c"] * n), pa.array(ids[at : at + S.STEP]), np.ones(n, bool))
+        assert best.held <= 2 * 5 * 3 + S.STEP * 4
+    got = [(int(q), i.as_py()) for of, _, some, _ in best.parts(4) for q, i in zip(of, some, strict=True)]
+    want = [(q, i) for q in range(3) for _, _, i in sorted((np.isnan(scores[r, q]), -np.nan_to_num(scores[r, q]), ids[r]) for r in range(4000))[:5]]
+    assert got == want
+
+
 def test_int8_finds_what_codes_cannot_tell_apart(spark):
     import numpy as np
 

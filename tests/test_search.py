@@ -330,3 +330,14 @@ def test_int8_finds_what_codes_cannot_tell_apart(spark):
     coded, scale = ann.add_int8(df)
     got, want = ([(r.id, r.rank) for r in x.orderBy("rank").collect()] for x in (ann.search_int8(coded, base.tolist(), scale), S.search(df, base.tolist())))
     assert got == want
+
+
+def test_chunks_in_steps_are_those_of_each_text():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [None, "", "  ", *("\n".join(" ".join("wé# "[rng.randrange(4)] * rng.randrange(1, 9) for _ in range(40)) for _ in range(rng.randrange(1, 30))) for _ in range(60))]
+    opts = C.ChunkOptions("markdown", 200, 20)
+    for step in (1, 3000, 1 << 20):
+        assert C.chunked(pa.array(texts), opts, step).to_pylist() == [C.chunk(t, opts) for t in texts]
+    assert C.chunked(pa.array([], pa.string()), opts).to_pylist() == []

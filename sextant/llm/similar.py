@@ -1,28 +1,21 @@
-"""SimHash near-dedup by the Jaccard similarity of word shingles.
-
-The fingerprint bits of two texts at similarity J differ with a probability of
-acos(2 J / (1 + J)) / pi, 0.15 at 0.8, so ``simhash.links`` at a few bits
-finds near-identical texts only. They are the first step here; then the
-deletion variants are taken of wider fingerprints:
+"""Near-dedup by the exact Jaccard similarity of word shingles, SimHash first.
 
 1. A text's shingles are its distinct runs of ``words`` words (all words, if
    fewer), as 64-bit hashes. Texts equal in their bytes are one node.
 2. ``simhash.links`` joins the nodes' 64-bit fingerprints at ``FEW_BITS``. What is
-   similar to the least node of its component there is merged with it and goes on as
-   that, so dense groups of near copies are small from here on.
-3. More fingerprint bits are cut into segments. Each segment is indexed once
-   per bit with that bit deleted, so two nodes share a key if they differ by at
-   most one bit in some segment. Segments have about the logarithm of the number
-   of nodes in bits, so a key holds a few nodes at any size, and are so many
-   that a pair at the least similarity shares a key with probability ``RECALL``.
-4. Equal keys are joined, and pairs kept whose fingerprints, the 64 bits and then
-   all, differ in no more bits than a pair at the least similarity does but for three
-   standard deviations.
-5. Keys that very many nodes share (found from a sample of the nodes, which only
-   chooses the way, not the result) go another way: each node is compared with
-   the least of the key, what is similar is merged, and then all that are
-   not yet in one group are compared across groups, so a dense group costs its
-   size and not its square.
+   similar to the least node of its component there is in one group with it. That
+   only saves work: every node takes part in what follows.
+3. All similar pairs share a prefix: with shingles in one order for all texts, the rarest
+   first, two sets at similarity t have a common shingle among the first
+   n - ceil(t n) + 1 of the larger and the first n - ceil(2 t / (1 + t) n) + 1 of the smaller.
+   So only prefixes are joined, and no pair is missed. The order is by counts in
+   a sample of the nodes; the sample chooses how many candidates there are, not the result.
+4. A candidate's places in both prefixes bound its common shingles, and so do the sizes;
+   what cannot reach t is dropped in the join.
+5. Shingles that several nodes have are looked at twice: first each node with the
+   first of its shingle, then, with what is similar merged, only nodes of different
+   groups, the largest group of a shingle against the others: a dense group of near copies costs
+   its size and not its square.
 6. Pairs are verified by the exact similarity of their shingle sets, one pair of
    each node first, then those whose nodes are not in one group by then. Groups
    are the connected components (``simhash.components``).
@@ -37,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import TMP, arrow_map, materialize
 from .linededup import SPACE
@@ -46,8 +40,10 @@ from .simhash import BITS, _long, components, links
 RECALL = 0.95
 #: Bits in which the fingerprints of the first step's pairs differ at most; bits of a segment at least.
 FEW_BITS, LEAST_WIDTH = 4, 16
-#: A key that in one of SAMPLED nodes is found more often than this is dense.
-SAMPLED, DENSE = 8, 3
+#: A shingle that in one of SAMPLED nodes is found more often than DENSE times comes later in the order; of at most ORDERED shingles.
+SAMPLED, DENSE, ORDERED = 8, 3, 500_000
+#: Nodes of the sample at most, about.
+SAMPLE_NODES = 50_000
 #: Rows of 8 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST = 500_000
 #: Shingles hashed into bit counts at a time.
@@ -96,22 +92,27 @@ def _node(text: Column) -> Column:
     return F.xxhash64(F.when(F.btrim(text, F.lit(SPACE)) != "", text).otherwise(""))
 
 
-def _keys(nodes: DataFrame, width: int, segments: int) -> DataFrame:
-    """(key, fp): a row for every bit of every segment, the segment without that bit."""
-    per = BITS // width
-    i, segment = F.col("i"), F.floor(F.col("i") / width).cast("int")
-    low = (segment % per) * width
-    long = F.get(F.col("wide"), F.floor(segment / per).cast("int"))
-    value = F.call_function("shiftrightunsigned", long, low).bitwiseAND(_long((1 << width) - 1))
-    gone = F.call_function("shiftleft", F.lit(1).cast("long"), i % width)
-    key = F.shiftleft(value.bitwiseAND(F.bitwise_not(gone)), 16).bitwiseOR(i.cast("long"))
-    return nodes.select("fp", "wide", F.explode(F.sequence(F.lit(0), F.lit(width * segments - 1))).alias("i")).select(key.alias("key"), "fp")
+def ordered(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The hashes by their counts in the sorted ``common`` ones, those that are not there first, then by themselves."""
+    if not len(common):
+        return hashes
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    return hashes[np.lexsort((hashes, np.where(common[at] == hashes, counts[at], 0)))]
 
 
-def _most(bits: int, least: float) -> int:
-    """Bits in which two sets at the similarity ``least`` differ, and three standard deviations more."""
-    q = differ(least)
-    return math.ceil(bits * q + 3 * math.sqrt(bits * q * (1 - q)))
+def prefix(n: int, least: float) -> tuple[int, int]:
+    """How many first shingles of ``n`` a set shares one of with all that are similar: with smaller ones, and with larger ones."""
+    return n - math.ceil(least * n - 1e-9) + 1, n - math.ceil(2 * least / (1 + least) * n - 1e-9) + 1
+
+
+def _counts(docs: DataFrame, words: int, sampled: int, dense: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that more than ``dense`` nodes of a sample have, and their counts."""
+    some = docs.select(_node(F.col("text")).alias("node"), "text").where(F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(sampled)) == 0).dropDuplicates(["node"])
+    made = arrow_map(some, [("h", T.ArrayType(T.LongType()))], lambda ns, ts: [[shingles(t, words).view(np.int64) for t in ts]])
+    got = made.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).orderBy(F.desc("n"), "h").limit(ORDERED).toArrow()
+    h, n = got["h"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    by = np.argsort(h)
+    return h[by], n[by]
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -135,69 +136,89 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, least: float) -> Da
     return materialize(_similar(pairs, sets, least))
 
 
-def _wide_pairs(heads: DataFrame, width: int, segments: int, least: float, sampled: int, dense: int, verify) -> DataFrame:
-    """(a, b): similar pairs among ``heads`` (node, fp, wide), whose fingerprints ``fp`` are distinct."""
-    keys = _keys(heads, width, segments)
-    some = _keys(heads.where(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(sampled)) == 0), width, segments)
-    hot = _small(materialize(some.groupBy("key").count().where(F.col("count") > dense).select("key")))
-    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= _most(BITS, least)
-    # Second look: all bits that segments are cut from.
-    of = heads.select("fp", "node", "wide")
-    n = heads.select(F.size("wide")).head()
-    all_bits = BITS * (n[0] if n else 1)
-    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-    def looked(pairs: DataFrame) -> DataFrame:
-        """Node pairs (a, b) of fingerprint pairs (fa, fb)."""
-        one = of.select(F.col("fp").alias("fa"), F.col("node").alias("a"), F.col("wide").alias("wa"))
-        two = of.select(F.col("fp").alias("fb"), F.col("node").alias("b"), F.col("wide").alias("wb"))
-        return pairs.join(one, "fa").join(two, "fb").where(apart <= _most(all_bits, least)).select("a", "b")
-
-    def in_rounds(pairs: DataFrame) -> DataFrame:
-        """``verify`` of the node pairs, first for one pair of each node, then for those that are not in one group by then."""
-        pairs = materialize(pairs)
-        one = verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        group = components(one)
-        roots = [group.select(F.col("node").alias(c), F.col("root").alias("r" + c)) for c in "ab"]
-        apart = pairs.join(roots[0], "a", "left").join(roots[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-        return one.unionByName(verify(apart.join(one, ["a", "b"], "left_anti").select("a", "b")))
-
-    cool = keys.join(hot, "key", "left_anti")
-    a, b = cool.withColumnRenamed("fp", "fa"), cool.withColumnRenamed("fp", "fb")
-    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("fa") < F.col("fb")) & near).select("fa", "fb").distinct()
-    members = materialize(keys.join(hot, "key", "left_semi"))
-    if not members.take(1):
-        return in_rounds(looked(pairs))
-    stars = members.join(members.groupBy("key").agg(F.min("fp").alias("fa")), "key").select("fa", F.col("fp").alias("fb")).where("fa <> fb").where(near)
-    found = in_rounds(looked(pairs.unionByName(stars).distinct()))
-    names = of.select("node", "fp")
-    roots = components(found).join(names, "node").select("fp", "root")
-    grouped = materialize(members.join(roots, "fp", "left").join(names, "fp").select("key", "fp", F.coalesce("root", "node").alias("root")))
-    sizes = grouped.groupBy("key", "root").count()
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("top.root").alias("top"))
-    open_ = materialize(grouped.join(mixed, "key"))
-    one = open_.where("root <> top").select("key", F.col("fp").alias("fa"), F.col("root").alias("r"))
-    other = (F.col("r") != F.col("root")) & ((F.col("root") == F.col("top")) | (F.col("fa") < F.col("fb")))
-    more = one.join(open_.withColumnRenamed("fp", "fb"), "key").where(other & near).select("fa", "fb").distinct()
-    return found.unionByName(in_rounds(looked(more)))
+def _in_rounds(pairs: DataFrame, verify) -> DataFrame:
+    """``verify`` of the node pairs, first for one pair of each node, then for those that are not in one group by then."""
+    pairs = materialize(pairs)
+    one = verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    group = components(one)
+    roots = [group.select(F.col("node").alias(c), F.col("root").alias("r" + c)) for c in "ab"]
+    apart = pairs.join(roots[0], "a", "left").join(roots[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    return one.unionByName(verify(apart.join(one, ["a", "b"], "left_anti").select("a", "b")))
+
+
+def _possible(least: float) -> Column:
+    """Of the sets of ``m`` and ``n`` shingles (m <= n, by size and then node), which share those at the places ``j`` and ``i``: whether they can be similar."""
+    need = F.ceil(F.lit(least / (1 + least)) * (F.col("m") + F.col("n")) - 1e-9)
+    # At the first shingle that both have, which is in both prefixes, only what follows it can be common too.
+    most = 1 + F.least(F.col("m") - F.col("j") - 1, F.col("n") - F.col("i") - 1)
+    order = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
+    return order & (F.col("m") >= F.lit(least) * F.col("n") - 1e-9) & (most >= need)
+
+
+def _prefix_pairs(nodes: DataFrame, groups: DataFrame, least: float, verify) -> DataFrame:
+    """(a, b): links that connect all similar pairs of ``nodes`` (node, n, prefix), given the ``groups`` (node, root) that are known."""
+    rows = nodes.select("node", F.col("n").alias("size"), F.posexplode("prefix").alias("at", "key"))
+    size = F.col("size")
+    short = size - F.ceil(F.lit(2 * least / (1 + least)) * size - 1e-9) + 1
+    # What only one node has, or only in its longer prefix, is of no use.
+    rows = rows.withColumn("inner", (F.col("at") < short).cast("int"))
+    both = Window.partitionBy("key")
+    kept = rows.withColumn("k", F.count(F.lit(1)).over(both)).withColumn("in", F.max("inner").over(both)).where("k > 1 and in = 1").drop("k", "in")
+    kept = materialize(kept)
+
+    def sides(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+        a = rows.where("inner = 1").select("key", F.col("node").alias("a"), F.col("size").alias("m"), F.col("at").alias("j"), *[F.col(c).alias(c + "a") for c in more])
+        b = rows.select("key", F.col("node").alias("b"), F.col("size").alias("n"), F.col("at").alias("i"), *[F.col(c).alias(c + "b") for c in more])
+        return a, b
+
+    def named(rows: DataFrame, links: DataFrame) -> DataFrame:
+        return rows.join(links.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    # First each node with the smallest of its shingle.
+    now = materialize(named(kept, groups))
+    heads = now.where("inner = 1").groupBy("key").agg(F.min(F.struct("size", "node", "at", "root")).alias("h"))
+    heads = heads.select("key", F.col("h.node").alias("a"), F.col("h.size").alias("m"), F.col("h.at").alias("j"), F.col("h.root").alias("roota"))
+    stars = heads.join(sides(now, "root")[1], "key").where(_possible(least) & (F.col("roota") != F.col("rootb"))).select("a", "b").distinct()
+    found = _in_rounds(stars, verify)
+    # Then what is not in one group yet.
+    every = groups.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found)
+    now = materialize(named(kept, components(every)))
+    sizes = now.groupBy("key", "root").count()
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", F.col("top.root").alias("top"))
+    open_ = materialize(now.join(mixed, "key").withColumn("other", (F.col("root") != F.col("top")).cast("int")))
+    ways = []
+    for x, y in ((1, 1), (1, 0), (0, 1)):  # never the largest group against itself
+        a, b = sides(open_, "root", "other")
+        a, b = a.where(F.col("othera") == x), b.where(F.col("otherb") == y)
+        ways.append(a.join(b, "key").where((F.col("roota") != F.col("rootb")) & _possible(least)).select("a", "b"))
+    return found.unionByName(_in_rounds(ways[0].unionByName(ways[1]).unionByName(ways[2]).distinct(), verify))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, sampled: int = SAMPLED, dense: int = DENSE) -> DataFrame:
     """(doc_id, node, component_id, component_node) for every row of ``docs``: the least doc_id (null last), and then node, reachable over links of similarity ``least`` or more."""
-    width, segments = shape(docs.count(), least)
-    longs = 1 + -(-segments // (BITS // width))
+    common, counts = _counts(docs, words, max(sampled, docs.count() // SAMPLE_NODES) if sampled > 1 else 1, dense)
+    shared = docs.sparkSession.sparkContext.broadcast((common, counts))
+
+    def marked(texts: list) -> list[list]:
+        fps, sizes, firsts = [], [], []
+        for t in texts:
+            h = shingles(t, words)
+            fps.append(bits(h, 1)[0])
+            sizes.append(len(h))
+            firsts.append(ordered(h, *shared.value)[: prefix(len(h), least)[0]].view(np.int64))
+        return [fps, sizes, firsts]
+
     marks = arrow_map(
         docs.select("doc_id", _node(F.col("text")).alias("node"), "text"),
-        [("wide", T.ArrayType(T.LongType()))],
-        lambda texts: [[bits(shingles(t, words), longs) for t in texts]],
+        [("fp", T.LongType()), ("n", T.IntegerType()), ("prefix", T.ArrayType(T.LongType()))],
+        marked,
         keep=["doc_id", "node"],
     )
     marks = materialize(marks)
     nodes = materialize(
-        marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))).alias("rep"), F.min("wide").alias("wide"))
-        .select("node", "rep", F.get("wide", F.lit(0)).alias("fp"), F.slice("wide", 2, longs).alias("wide"))
+        marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))).alias("rep"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("prefix").alias("prefix"))
     )
-    heads = materialize(nodes.groupBy("fp").agg(F.min_by("node", "node").alias("node"), F.min_by("wide", "node").alias("wide")))
+    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("node")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         return _verified(docs, pairs, words, least)
@@ -208,9 +229,8 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, sampled:
     stars = few.withColumnRenamed("node", "fp").join(one, "root").join(two, "fp").select("a", "b")
     same = nodes.select("fp", F.col("node").alias("b")).join(one.withColumnRenamed("root", "fp"), "fp").where("a <> b").select("a", "b")
     found = verify(stars.unionByName(same))
-    # What is like its component's least goes on as that; the others go on as themselves.
-    rest = materialize(heads.join(found.select(F.col("b").alias("node")), "node", "left_anti"))
-    found = found.unionByName(_wide_pairs(rest, width, segments, least, sampled, dense, verify))
+    # What is like its component's least is in its group; all go on, as each may be like something else.
+    found = found.unionByName(_prefix_pairs(nodes.select("node", "n", "prefix"), components(found), least, verify))
 
     groups = components(found)
     roots = nodes.join(groups, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
@@ -222,8 +242,7 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, sampled:
 def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, of which one in each group of similar texts stays: the least doc_id (null last), then the least hash of the text.
 
-    Texts at similarity ``least`` or more are found with probability ``RECALL``
-    or more each, and nothing below it is linked. Of rows equal in id and text
+    All texts at similarity ``least`` or more are linked, and nothing below it is. Of rows equal in id and text
     one stays, whatever their other columns hold. Rows without any word are one
     group. An empty table gives an empty result.
     """

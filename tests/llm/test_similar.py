@@ -101,3 +101,17 @@ def test_edge_rows(spark):
     long = " ".join(f"w{i}" for i in range(200_000))
     assert S.drop_similar(spark.createDataFrame([(1, long), (2, long + " end")], "doc_id long, text string")).count() == 1
     assert S.drop_similar(docs.where("false")).count() == 0
+
+
+def test_no_similar_pair_is_left_out(spark):
+    """Against all pairs, at similarities around 0.8, among texts that all hold one passage, and where a copy links only by another copy."""
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(40)]
+    texts = [(0, " ".join(common + t.split() + common[: rng.randrange(40)])) for _, t in planted(rng, 60, 3)]
+    base = [f"b{i}" for i in range(300)]
+    for step in range(0, 120, 4):  # a chain: neighbours are similar, its ends are not
+        texts.append((0, " ".join([f"n{i}" for i in range(step)] + base[step:])))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    want = brute_groups(texts)
+    for sampled, dense in ((1, 3), (8, 3)):
+        assert {r.doc_id: r.component_id for r in S.similar_groups(docs, 5, 0.8, sampled, dense).collect()} == want

@@ -15,8 +15,12 @@
 5. Shingles that several nodes have are looked at twice: first each node with the
    first of its shingle, then, with what is similar merged, only nodes of different
    groups, the largest group of a shingle against the others: a dense group of near copies costs
-   its size and not its square.
-6. Pairs are verified by the exact similarity of their shingle sets, one pair of
+   its size and not its square. Of the crowded shingles that two nodes share the first makes the pair.
+6. A node's ``parity`` map has a bit for each class of hashes, about as many as it has shingles: whether it
+   has an odd number there. Two maps differ in no more bits than the sets differ in shingles, so
+   a pair whose maps differ in more than t allows is not similar. All but about the similar pairs end
+   here, at an eighth to a quarter of a byte a shingle; only what is left moves whole sets.
+7. Pairs are verified by the exact similarity of their shingle sets, one pair of
    each node first, then those whose nodes are not in one group by then. Groups
    are the connected components (``simhash.components``).
 """
@@ -44,6 +48,8 @@ FEW_BITS, LEAST_WIDTH = 4, 16
 SAMPLED, DENSE, ORDERED = 8, 3, 500_000
 #: Nodes of the sample at most, about.
 SAMPLE_NODES = 50_000
+#: Nodes with one shingle from which it is crowded; of the crowded shingles of a node so many are known to its other rows.
+CROWDED, FIRSTS = 8, 64
 #: Rows of 8 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST = 500_000
 #: Shingles hashed into bit counts at a time.
@@ -74,6 +80,13 @@ def bits(hashes: np.ndarray, longs: int) -> list[int]:
     return np.packbits(counts * 2 > len(hashes), axis=1).view(np.int64).ravel().tolist()
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each class of the hashes modulo the least power of two that is 64 and as many as they are: 1 if an odd number is in it."""
+    size = max(BITS, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def differ(similarity: float) -> float:
     """The probability that a bit of two sets of one size at a Jaccard similarity differs."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -120,6 +133,21 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
+def _near(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) that can be similar by the sizes and parity maps of ``nodes`` (node, n, map)."""
+    x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(n), F.col("map").alias(m)) for c, n, m in (("a", "m", "x"), ("b", "n", "y")))
+    small, large, size = F.least("m", "n"), F.greatest("m", "n"), F.least(F.size("x"), F.size("y"))
+    both = pairs.join(y, "b").join(x, "a").where(small >= F.lit(least) * large - 1e-9)
+
+    def folded(c: str) -> Column:
+        # Sets of which one may be 1.25 times the other have maps of one size, or of twice the size: its halves fold into the map of half the size.
+        halves = F.zip_with(F.slice(c, 1, size), F.slice(c, size + 1, size), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(c) > size, halves).otherwise(F.col(c))
+
+    apart = F.aggregate(F.zip_with(folded("x"), folded("y"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    return materialize(both.where(apart <= F.lit((1 - least) / (1 + least)) * (F.col("m") + F.col("n")) + 1e-9).select("a", "b"))
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) at similarity ``least`` or more, exactly."""
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
@@ -156,7 +184,7 @@ def _possible(least: float) -> Column:
 
 
 def _prefix_pairs(nodes: DataFrame, groups: DataFrame, least: float, verify) -> DataFrame:
-    """(a, b): links that connect all similar pairs of ``nodes`` (node, n, prefix), given the ``groups`` (node, root) that are known."""
+    """(a, b): links that connect all similar pairs of ``nodes`` (node, n, prefix, map), given the ``groups`` (node, root) that are known."""
     rows = nodes.select("node", F.col("n").alias("size"), F.posexplode("prefix").alias("at", "key"))
     size = F.col("size")
     short = size - F.ceil(F.lit(2 * least / (1 + least)) * size - 1e-9) + 1
@@ -179,19 +207,25 @@ def _prefix_pairs(nodes: DataFrame, groups: DataFrame, least: float, verify) ->
     heads = now.where("inner = 1").groupBy("key").agg(F.min(F.struct("size", "node", "at", "root")).alias("h"))
     heads = heads.select("key", F.col("h.node").alias("a"), F.col("h.size").alias("m"), F.col("h.at").alias("j"), F.col("h.root").alias("roota"))
     stars = heads.join(sides(now, "root")[1], "key").where(_possible(least) & (F.col("roota") != F.col("rootb"))).select("a", "b").distinct()
-    found = _in_rounds(stars, verify)
+    found = _in_rounds(_near(stars, nodes, least), verify)
     # Then what is not in one group yet.
     every = groups.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found)
     now = materialize(named(kept, components(every)))
     sizes = now.groupBy("key", "root").count()
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", F.col("top.root").alias("top"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("count").alias("rows")).where("kinds > 1").select("key", F.col("top.root").alias("top"), (F.col("rows") > CROWDED).alias("crowded"))
     open_ = materialize(now.join(mixed, "key").withColumn("other", (F.col("root") != F.col("top")).cast("int")))
+    # A pair that shares several crowded shingles is made at the first of them, as the order is one for all: a row has its node's crowded shingles before it, of the first.
+    firsts = open_.where("crowded").groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "key"))), 1, FIRSTS).alias("firsts"))
+    before = F.transform(F.filter("firsts", lambda x: x["at"] < F.col("at")), lambda x: x["key"])
+    open_ = open_.join(firsts, "node", "left").withColumn("before", F.when(F.col("crowded"), before)).drop("firsts")
+    open_ = materialize(open_)
     ways = []
     for x, y in ((1, 1), (1, 0), (0, 1)):  # never the largest group against itself
-        a, b = sides(open_, "root", "other")
+        a, b = sides(open_, "root", "other", "before")
         a, b = a.where(F.col("othera") == x), b.where(F.col("otherb") == y)
-        ways.append(a.join(b, "key").where((F.col("roota") != F.col("rootb")) & _possible(least)).select("a", "b"))
-    return found.unionByName(_in_rounds(ways[0].unionByName(ways[1]).unionByName(ways[2]).distinct(), verify))
+        again = F.coalesce(F.arrays_overlap("beforea", "beforeb"), F.lit(False))
+        ways.append(a.join(b, "key").where((F.col("roota") != F.col("rootb")) & _possible(least) & ~again).select("a", "b"))
+    return found.unionByName(_in_rounds(_near(ways[0].unionByName(ways[1]).unionByName(ways[2]).distinct(), nodes, least), verify))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, sampled: int = SAMPLED, dense: int = DENSE) -> DataFrame:
@@ -200,23 +234,24 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, sampled:
     shared = docs.sparkSession.sparkContext.broadcast((common, counts))
 
     def marked(texts: list) -> list[list]:
-        fps, sizes, firsts = [], [], []
+        fps, sizes, firsts, maps = [], [], [], []
         for t in texts:
             h = shingles(t, words)
             fps.append(bits(h, 1)[0])
             sizes.append(len(h))
             firsts.append(ordered(h, *shared.value)[: prefix(len(h), least)[0]].view(np.int64))
-        return [fps, sizes, firsts]
+            maps.append(parity(h))
+        return [fps, sizes, firsts, maps]
 
+    rows = docs.select("doc_id", _node(F.col("text")).alias("node"), "text")
     marks = arrow_map(
-        docs.select("doc_id", _node(F.col("text")).alias("node"), "text"),
-        [("fp", T.LongType()), ("n", T.IntegerType()), ("prefix", T.ArrayType(T.LongType()))],
+        rows,
+        [("fp", T.LongType()), ("n", T.IntegerType()), ("prefix", T.ArrayType(T.LongType())), ("map", T.ArrayType(T.LongType()))],
         marked,
         keep=["doc_id", "node"],
     )
-    marks = materialize(marks)
     nodes = materialize(
-        marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))).alias("rep"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("prefix").alias("prefix"))
+        marks.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node"))).alias("rep"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("prefix").alias("prefix"), F.min("map").alias("map"))
     )
     heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("node")))
 
@@ -228,15 +263,15 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, sampled:
     one, two = heads.select(F.col("fp").alias("root"), F.col("node").alias("a")), heads.select("fp", F.col("node").alias("b"))
     stars = few.withColumnRenamed("node", "fp").join(one, "root").join(two, "fp").select("a", "b")
     same = nodes.select("fp", F.col("node").alias("b")).join(one.withColumnRenamed("root", "fp"), "fp").where("a <> b").select("a", "b")
-    found = verify(stars.unionByName(same))
+    found = verify(_near(stars.unionByName(same), nodes, least))
     # What is like its component's least is in its group; all go on, as each may be like something else.
-    found = found.unionByName(_prefix_pairs(nodes.select("node", "n", "prefix"), components(found), least, verify))
+    found = found.unionByName(_prefix_pairs(nodes.select("node", "n", "prefix", "map"), components(found), least, verify))
 
     groups = components(found)
     roots = nodes.join(groups, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     ids = roots.groupBy("root").agg(F.min("rep").alias("rep"))
     named = roots.join(ids.withColumnRenamed("rep", "least"), "root").select("node", F.col("least.id").alias("component_id"), F.col("least.node").alias("component_node"))
-    return marks.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component_id", "component_node")
+    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component_id", "component_node")
 
 
 def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:

@@ -115,3 +115,36 @@ def test_no_similar_pair_is_left_out(spark):
     want = brute_groups(texts)
     for sampled, dense in ((1, 3), (8, 3)):
         assert {r.doc_id: r.component_id for r in S.similar_groups(docs, 5, 0.8, sampled, dense).collect()} == want
+
+
+def test_parity_maps_never_part_similar_sets():
+    rng = np.random.default_rng(3)
+    for m, n in ((1, 1), (60, 70), (64, 80), (500, 520), (1000, 1030)):
+        x = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        y = np.concatenate((x[:m], rng.integers(0, 2**64, 9, np.uint64)))
+        a, b = S.parity(x), S.parity(y)
+        short, long = sorted((a, b), key=len)
+        if len(long) > len(short):
+            long = long[: len(short)] ^ long[len(short) :]
+        assert len(short) == len(long) and sum(int(v & (2**64 - 1)).bit_count() for v in (short ^ long).tolist()) <= len(np.setxor1d(x, y))
+
+
+def test_whole_sets_move_only_for_what_may_be_similar(spark, monkeypatch):
+    """Texts that share half of their words are candidates by their prefixes, but no pair of them is read whole."""
+    passage, seen, verified = " ".join(f"p{i}" for i in range(120)), [], S._verified
+    texts = [f"{passage} " + " ".join(f"t{i}w{j}" for j in range(80)) for i in range(30)]
+    texts.append(texts[0].rsplit(" ", 1)[0] + " other")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(S, "_verified", lambda docs, pairs, *a: (seen.append(pairs.count()), verified(docs, pairs, *a))[1])
+    got = {r.doc_id: r.component_id for r in S.similar_groups(docs, 5, 0.8, 1, 10**6).collect()}
+    assert got == {i: i for i in range(30)} | {30: 0} and sum(seen) <= 2
+
+
+def test_crowded_shingles_make_each_pair_and_miss_none(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = [(0, t) for _, t in planted(rng, 1, 40)] + [(0, t) for _, t in planted(rng, 20, 1)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    want = brute_groups(texts)
+    monkeypatch.setattr(S, "CROWDED", 1)
+    monkeypatch.setattr(S, "FIRSTS", 2)
+    assert {r.doc_id: r.component_id for r in S.similar_groups(docs, 5, 0.8, 1, 10**6).collect()} == want

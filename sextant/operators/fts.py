@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from ..functions import vectors as V
 from ..functions.analysis import Analyzer, Highlight
 from ..functions.filters import bind, compile_filter
 from ..functions.partitions import materialize, spread
@@ -164,20 +165,31 @@ def text_search(df: DataFrame, query: TextQuery, schema: list[FieldSchema], opts
     return S.tail(rows.where(where).join(F.broadcast(hits) if opts.rank_by is None and opts.min_score is None else hits, keys), opts)
 
 
-def hybrid_search(df: DataFrame, vector: list[float], query: TextQuery, schema: list[FieldSchema], opts: S.SearchOptions = S.SearchOptions(), candidates: int = 100, weights: tuple[float, float] = (1.0, 1.0), k: float = 60.0, metric: str = "cosine", index: DataFrame | None = None) -> DataFrame:
+def hybrid_search(df: DataFrame, vector: list[float], query: TextQuery, schema: list[FieldSchema], opts: S.SearchOptions = S.SearchOptions(), candidates: int = 100, weights: tuple[float, float] = (1.0, 1.0), k: float = 60.0, metric: str = "cosine", index: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Vector and text rankings fused by reciprocal ranks; ``legs`` has (leg, rank, score) with leg 0 for the vector.
 
     Both legs apply the filter and are max(candidates, page) deep; the page is
     cut from the fused ranking. Score bounds, decay, caps and diversity have no
-    meaning here.
+    meaning here. ``vectors`` (collection, id, vector) has the records' vectors
+    where they stand in a table of their own. Legs and fusion are of keys and scores; whole
+    records are read back for the page.
     """
     if opts.min_score is not None or opts.rank_by or opts.limit_per or opts.diversity is not None:
         raise ValueError("not available in hybrid search")
-    deep = S.SearchOptions(top_k=max(candidates, opts.offset + opts.top_k), where=opts.where, scope=opts.scope)
-    fused = R.fuse([S.search(df, vector, deep, metric), text_search(df, query, schema, deep, index)], list(weights), k)
+    keys = ["collection", "id"]
+    deep = S.SearchOptions(top_k=max(candidates, opts.offset + opts.top_k), where=opts.where, scope=opts.scope, include=[])
+    rows = S.scoped(df, opts.scope).where(compile_filter(opts.where, bind(df)))
+    if vectors is None:
+        nearest = S.search(df, vector, deep, metric)
+    else:
+        scored = S.scoped(vectors, opts.scope).where("vector is not null").select(*keys, V.score(F.col("vector"), list(vector), metric).alias("score"))
+        nearest = S.tail(scored.join(rows.select(*keys), keys), S.SearchOptions(top_k=deep.top_k, include=[]))
+    fused = R.fuse([nearest, text_search(df, query, schema, deep, index)], list(weights), k)
     window = Window.partitionBy(F.lit(0)).orderBy(*R.order())
     page = fused.orderBy(*R.order()).limit(opts.offset + opts.top_k).withColumn("rank", (F.row_number().over(window) - 1).cast("long"))
-    return S.project(page.where(F.col("rank") >= opts.offset), opts)
+    page = page.where(F.col("rank") >= opts.offset)
+    attrs = [c for c in df.columns if c not in (*page.columns, "vector", "row")]
+    return S.project(rows.select(*keys, *attrs).join(F.broadcast(page), keys).dropDuplicates(keys).select(*page.columns, *attrs), opts).orderBy("rank")
 
 
 def highlight(page: DataFrame, query: TextQuery, schema: list[FieldSchema], opts: Highlight = Highlight()) -> DataFrame:

@@ -462,9 +462,9 @@ HYBRID = f"""
 def hybrid_rrf(spark, d):
     """All documents, those that have a vector of the same number ranked by it, fused with a text ranking."""
     e = emb(spark, d)
-    df = collection(spark, d, "documents").join(e.select("id", "vector"), "id", "left")
+    df, vectors = collection(spark, d, "documents"), e.select(F.lit("documents").alias("collection"), "id", "vector")
     q = fts.TextQuery([("text", "licensed token")])
-    return hits(fts.hybrid_search(df, vec(e, "11"), q, PLAIN, S.SearchOptions(top_k=15), weights=(1.0, 2.0)))
+    return hits(fts.hybrid_search(df, vec(e, "11"), q, PLAIN, S.SearchOptions(top_k=15), weights=(1.0, 2.0), vectors=vectors))
 
 
 def reranked_sql(found: str, words: list[str], page: str = "rank < 10", cap: str = "true", more: str = "") -> str:
@@ -497,9 +497,9 @@ def rerank_capped_page(spark, d):
 def rerank_hybrid(spark, d):
     """A hybrid search's fused ranking, in the order of a reranker."""
     e = emb(spark, d)
-    df = collection(spark, d, "documents").join(e.select("id", "vector"), "id", "left")
+    df, vectors = collection(spark, d, "documents"), e.select(F.lit("documents").alias("collection"), "id", "vector")
     q = fts.TextQuery([("text", "licensed token")])
-    return hits(S.reranked(lambda o: fts.hybrid_search(df, vec(e, "11"), q, PLAIN, o, weights=(1.0, 2.0)), S.SearchOptions(), "apache license version", "text"))
+    return hits(S.reranked(lambda o: fts.hybrid_search(df, vec(e, "11"), q, PLAIN, o, weights=(1.0, 2.0), vectors=vectors), S.SearchOptions(), "apache license version", "text"))
 
 
 @query()

@@ -227,6 +227,21 @@ def test_bm25_and_hybrid(spark):
     assert fts.text_search(df, fts.TextQuery([("g", "the of")]), schema).count() == 0
 
 
+def test_hybrid_search_with_vectors_in_a_table_of_their_own(spark):
+    """The same pages as over records that hold their vectors; what has no record is not found; the legs' plans don't move texts."""
+    rows = [("c", str(i), i, [1.0, i / 7] if i % 3 else None, "cat " * (i % 4) + f"dog w{i}", 0) for i in range(40)]
+    df = frame(spark, rows)
+    docs, extra = df.drop("vector"), frame(spark, [("c", "99", 99, [1.0, 0.0], "cat", 0)])
+    vectors = df.unionByName(extra).select("collection", "id", "vector")
+    schema, q = [fts.FieldSchema("g")], fts.TextQuery([("g", "cat")])
+    for opts in (S.SearchOptions(), S.SearchOptions(top_k=5, offset=3, include=["g"]), S.SearchOptions(top_k=50, where=P.Ne("g", "dog w4")), S.SearchOptions(include=[])):
+        a, b = (fts.hybrid_search(x, [1.0, 0.3], q, schema, opts, vectors=v) for x, v in ((df, None), (docs, vectors)))
+        assert a.columns == b.columns and "vector" not in a.columns
+        got = b.collect()
+        assert a.collect() == got and [r["rank"] for r in got] == list(range(opts.offset, opts.offset + len(got))) and len(got) >= 5
+        assert "99" not in {r.id for r in got}
+
+
 @pytest.mark.parametrize(("word", "want"), [("caresses", "caress"), ("ponies", "poni"), ("agreed", "agre"), ("motoring", "motor"), ("hopping", "hop"), ("filing", "file"), ("relational", "relat"), ("sky", "sky"), ("generalizations", "gener"), ("controll", "control"), ("roll", "roll"), ("as", "as"), ("café", "café"), ("replacement", "replac"), ("adoption", "adopt")])
 def test_stems(word, want):
     assert A.stem(word) == want

@@ -17,7 +17,8 @@
    fingerprints within ``max_bits`` of each other share a value at
    ``max_bits / 2`` flips or fewer from both, and all that share such a value
    are linked, so each links to the least of them: linear in the members.
-6. Connected components by alternating large-star and small-star rounds.
+6. Connected components by alternating large-star and small-star rounds; what is
+   at most ``FEW_EDGES`` links, on the driver.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ BITS = 64
 DENSE = 128
 #: Distinct fingerprints from which keys are refined: there a segment value has 32 by chance, and far less than DENSE with a block.
 REFINE = 1 << 26
+#: Links of 16 bytes that are joined to components on the driver; more are in rounds of shuffles, which for a few links cost files and tasks only.
+FEW_EDGES = 1 << 17
 #: Parts in which the members of a component look up its id.
 PARTS = 16
 #: Shingles hashed into bit counts at a time.
@@ -198,17 +202,36 @@ def links(nodes: DataFrame, max_bits: int = 4, dense: int = DENSE, refine: bool
     return pairs if found is None else pairs.unionByName(found).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges(a, b)``; root is the least node of its component.
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of the edges, sorted, and of each the least node of its component."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while (apart := root[x] != root[y]).any():
+        x, y = x[apart], y[apart]
+        # Roots go below the least root that they have an edge to, then all nodes below their last root.
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def components(edges: DataFrame, max_rounds: int = 60, few: int | None = None) -> DataFrame:
+    """(node, root) for every node of ``edges(a, b)``, which are longs; root is the least node of its component.
 
     Alternating large-star and small-star rounds, each written to the shared
-    checkpoint folder; they end when the edges form stars.
+    checkpoint folder; they end when the edges form stars. At most ``few`` edges
+    (FEW_EDGES) are joined on the driver.
     """
     def sign(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     edges = materialize(edges.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     now = sign(edges)
+    if now[0] <= (FEW_EDGES if few is None else few):
+        got = edges.toArrow()
+        nodes, root = roots(*(got[c].to_numpy() for c in "ab"))
+        return edges.sparkSession.createDataFrame(pa.table({"node": nodes, "root": root}))
     for _ in range(max_rounds):
         if not now[0]:
             break

@@ -78,6 +78,21 @@ def test_links_and_components(spark, dense, refine):
     assert {f: got.get(f, f) for f in signed} == want
 
 
+def test_few_links_are_joined_without_rounds(spark, monkeypatch):
+    """A round writes a table and six shuffles, however few the links are; at 211 partitions those files were most of the disk."""
+    rng, written, materialize = random.Random(5), [], S.materialize
+    chain = rng.sample(range(-(10**18), 10**18), 400)  # needs several rounds
+    some = list(zip(chain, chain[1:], strict=False)) + [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(7, 7), (None, 3)]
+    edges = spark.createDataFrame(some, "a long, b long")
+    monkeypatch.setattr(S, "materialize", lambda df: (written.append(df.columns), materialize(df))[1])
+    got = {r.node: r.root for r in S.components(edges).collect()}
+    assert written == [["a", "b"]]
+    assert got == {r.node: r.root for r in S.components(edges, few=0).collect()} and len(written) > 4
+    assert all(got[c] == min(chain) for c in chain) and all(got[a] == got[b] and got[a] <= a for a, b in some[:-2] if a != b)
+    none = S.components(edges.where("a is null"))
+    assert none.columns == ["node", "root"] and not none.collect()
+
+
 def test_edge_rows(spark):
     rows = [(1, "", 7), (2, None, 7), (None, "a b", 7), (4, "a b", 7), (4, "a b", 7), (5, "z y x w v", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")

@@ -12,8 +12,9 @@
    a sample of the nodes; the sample chooses how many candidates there are, not the result.
 4. A candidate's places in both prefixes bound its common shingles, and so do the sizes;
    what cannot reach t is dropped in the join.
-5. Shingles that several nodes have are looked at twice: first each node with the
-   first of its shingle, then, with what is similar merged, only nodes of different
+5. Shingles that several nodes have are looked at in turns: first each node with the
+   first of its shingle, then, in ``STARS`` turns, with one chosen anew for each shingle, so that
+   what shares several shingles meets as many others; then, with what is similar merged, only nodes of different
    groups, the largest group of a shingle against the others: a dense group of near copies costs
    its size and not its square. Of the crowded shingles that two nodes share the first makes the pair.
 6. A node's ``parity`` map has a bit for each class of hashes, about as many as it has shingles: whether it
@@ -50,6 +51,8 @@ SAMPLED, DENSE, ORDERED = 8, 3, 500_000
 SAMPLE_NODES = 50_000
 #: Nodes with one shingle from which it is crowded; of the crowded shingles of a node so many are known to its other rows.
 CROWDED, FIRSTS = 8, 64
+#: Turns in which each node is held against one chosen node of each of its shingles, before pairs are made: of a group of near copies little is left to pair then.
+STARS = 2
 #: Rows of 8 bytes that may be broadcast; more are joined by a shuffle.
 BROADCAST = 500_000
 #: Shingles hashed into bit counts at a time.
@@ -208,9 +211,17 @@ def _prefix_pairs(nodes: DataFrame, groups: DataFrame, least: float, verify) ->
     heads = heads.select("key", F.col("h.node").alias("a"), F.col("h.size").alias("m"), F.col("h.at").alias("j"), F.col("h.root").alias("roota"))
     stars = heads.join(sides(now, "root")[1], "key").where(_possible(least) & (F.col("roota") != F.col("rootb"))).select("a", "b").distinct()
     found = _in_rounds(_near(stars, nodes, least), verify)
+    # The smallest is often the same for all shingles of a group, so then others, at most a pair for each row again.
+    old = groups.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    mine = F.struct("size", "node", "at", "inner", "root")
+    for turn in range(STARS):
+        now = materialize(named(kept, components(old.unionByName(found))))
+        heads = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("by"), mine.alias("h"))).alias("h")).select("key", F.col("h.h").alias("h"))
+        both = now.select("key", mine.alias("x")).join(heads, "key").where("x.root <> h.root").select(F.least("x", "h").alias("x"), F.greatest("x", "h").alias("y")).where("x.inner = 1")
+        both = both.select(*[F.col(of).alias(c) for c, of in (("a", "x.node"), ("m", "x.size"), ("j", "x.at"), ("b", "y.node"), ("n", "y.size"), ("i", "y.at"))])
+        found = found.unionByName(_in_rounds(_near(both.where(_possible(least)).select("a", "b").distinct(), nodes, least), verify))
     # Then what is not in one group yet.
-    every = groups.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found)
-    now = materialize(named(kept, components(every)))
+    now = materialize(named(kept, components(old.unionByName(found))))
     sizes = now.groupBy("key", "root").count()
     mixed = sizes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("count").alias("rows")).where("kinds > 1").select("key", F.col("top.root").alias("top"), (F.col("rows") > CROWDED).alias("crowded"))
     open_ = materialize(now.join(mixed, "key").withColumn("other", (F.col("root") != F.col("top")).cast("int")))

@@ -148,3 +148,22 @@ def test_crowded_shingles_make_each_pair_and_miss_none(spark, monkeypatch):
     monkeypatch.setattr(S, "CROWDED", 1)
     monkeypatch.setattr(S, "FIRSTS", 2)
     assert {r.doc_id: r.component_id for r in S.similar_groups(docs, 5, 0.8, 1, 10**6).collect()} == want
+
+
+def test_a_group_of_near_copies_leaves_few_pairs_to_the_last_turn(spark, monkeypatch):
+    rng, counts, near = random.Random(9), [], S._near
+    base, texts = [f"b{i}" for i in range(150)], []
+    for _ in range(120):
+        new = list(base)
+        for i in rng.sample(range(150), rng.randint(1, 3)):
+            new[i] = f"x{rng.randrange(10**9)}"
+        texts.append((0, " ".join(new)))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(S, "_near", lambda pairs, *a: (counts.append(pairs.count()), near(pairs, *a))[1])
+    got = {r.doc_id: r.component_id for r in S.similar_groups(docs, 5, 0.8, 1, 10**6).collect()}
+    assert got == brute_groups(texts)
+    turns = list(counts)
+    counts.clear()
+    monkeypatch.setattr(S, "STARS", 0)
+    assert {r.doc_id: r.component_id for r in S.similar_groups(docs, 5, 0.8, 1, 10**6).collect()} == got
+    assert turns[-1] < counts[-1], (turns, counts)

@@ -6,11 +6,13 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .analysis import TOKEN
+from . import hashing as H
+
+#: Characters of the texts that are embedded together, unless one text has more.
+CHARACTERS = 1 << 17
 
 
 class Embedder(Protocol):
@@ -30,16 +32,27 @@ class HashEmbedder:
         self.dimension, self.identity = dimension, f"hash/{dimension}"
 
     def embed_batch(self, texts: list[str]) -> list[list[float]]:
-        return [self.embed_query(t) for t in texts]
+        out, at = [], 0
+        while at < len(texts):
+            last, size = at, 0
+            while last < len(texts) and (last == at or size + len(texts[last] or "") <= CHARACTERS):
+                size += len(texts[last] or "")
+                last += 1
+            out += self._embed([t or "" for t in texts[at:last]]).tolist()
+            at = last
+        return out
+
+    def _embed(self, texts: list[str]) -> np.ndarray:
+        buffer, starts, ends, text = H.words(texts)
+        two = np.flatnonzero(text[1:] == text[:-1])  # a pair is a slice, from a word's start to the next word's end
+        h = H.xxh64(buffer, np.concatenate([starts, starts[two]]), np.concatenate([ends, ends[two + 1]]))
+        at = np.concatenate([text, text[two]]) * self.dimension + (h % np.uint64(self.dimension)).astype(np.int64)
+        v = np.bincount(at, np.where(h >> np.uint64(63), 1.0, -1.0), len(texts) * self.dimension).reshape(len(texts), self.dimension)
+        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return (v / np.where(norm, norm, 1.0)).astype(np.float32)
 
     def embed_query(self, text: str) -> list[float]:
-        words = [m[0].lower() for m in TOKEN.finditer(text or "")]
-        v = np.zeros(self.dimension)
-        for feature in words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]:
-            h = xxhash.xxh64_intdigest(feature)
-            v[h % self.dimension] += 1.0 if h >> 63 else -1.0
-        norm = np.linalg.norm(v)
-        return (v / norm if norm else v).astype(np.float32).tolist()
+        return self.embed_batch([text])[0]
 
 
 def embed(text: Column, embedder: Embedder) -> Column:

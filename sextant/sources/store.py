@@ -210,19 +210,27 @@ class Store:
 
     # --- state ------------------------------------------------------------------------------------------------
 
-    def records(self, scope: list[str] | None = None) -> DataFrame:
-        """Live records: collection, id, row (NULL without a vector), vector, attrs.
+    def records(self, scope: list[str] | None = None, only: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
+        """Live records: collection, id, row (NULL without a vector), vector, attrs; of the attributes ``only`` some, or those ``without`` some.
 
         The last upsert or delete of a key counts, found with one shuffle by key;
         reinforcements after it are folded in where the version has any.
+        Attributes that aren't asked for don't move.
         """
         full = self._since_drop(self.ops(*FULL))
+
+        def asked(attrs: Column, own: tuple[str, ...] = ()) -> Column:
+            """Of a map what was asked for, and the store's ``own``."""
+            attrs = attrs if only is None else F.map_filter(attrs, lambda k, v: k.isin([*only, *own]))
+            return F.map_filter(attrs, lambda k, v: ~k.isin([x for x in without if x not in own])) if without else attrs
+
+        full = full.withColumn("attrs", asked(F.col("attrs"), (COUNT, ACCESSED, EXPIRES)))  # reinforcements are folded into these
         if scope is not None:
             full = full.where(F.col("collection").isin(scope))
         last = full.withColumn("rn", F.row_number().over(Window.partitionBy("collection", "id").orderBy(F.desc("seq")))).where("rn = 1 and op = 'upsert'").drop("rn")
         if self._has("reinforce"):
             last = self._reinforced(last)
-        return last.select("collection", "id", F.when(F.col("vector").isNotNull(), F.col("seq")).alias("row"), "vector", F.coalesce("attrs", F.create_map().cast(ATTRS)).alias("attrs"))
+        return last.select("collection", "id", F.when(F.col("vector").isNotNull(), F.col("seq")).alias("row"), "vector", asked(F.coalesce("attrs", F.create_map().cast(ATTRS))).alias("attrs"))
 
     def _reinforced(self, last: DataFrame) -> DataFrame:
         patches = self.ops("reinforce").select("collection", "id", F.col("seq").alias("pseq"), F.col("at").alias("pat"), F.col("extend").alias("pext"))
